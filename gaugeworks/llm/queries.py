@@ -1,4 +1,248 @@
 """Queries of the training-data operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugeworks.llm import cooccurrence as co
+from gaugeworks.llm import mixing as mx
+from gaugeworks.llm import packing as pk
+from gaugeworks.llm import quantiles as qt
+from gaugeworks.llm import sampling as sp
+from gaugeworks.llm.tokens import byte_tokens
+from gaugeworks.operators.hot_keys import compress_values, weighted_percentiles
+from gaugeworks.sources.tables import table
+
+SEED = 42
+
+
+def _distinct(annotations: DataFrame, *columns: str) -> DataFrame:
+    """One row per annotation id; redelivered rows repeat the content."""
+    return annotations.where(F.col("id").isNotNull()).groupBy("id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
+
+
+# --- p2: co-occurrence
+
+
+def _cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
+    categories = table(spark, folder, "categories").select(F.col("id").alias("category_id")).distinct()
+    annotations = table(spark, folder, "annotations").join(categories, "category_id", "left_semi")
+    images = table(spark, folder, "images").select(F.col("id").alias("basket"))
+    return co.cooccurrence(annotations, "image_id", "category_id", n_items=categories.count(), keep=images)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = _cooccurrence(spark, folder)
+    exact = {c: F.col(c).cast("decimal(18,0)") for c in ("n_ab", "n_a", "n_b", "n_baskets")}
+    often = exact["n_ab"] * 1000 >= exact["n_baskets"] * 18
+    beyond_chance = exact["n_ab"] * exact["n_baskets"] >= exact["n_a"] * exact["n_b"] * 3
+    return pairs.where(often & beyond_chance).select(F.col("item_a").alias("category_a"), F.col("item_b").alias("category_b"))
+
+
+def p2_cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of categories that share an image, with lift."""
+    pairs = _cooccurrence(spark, folder)
+    return pairs.select(F.col("item_a").alias("category_a"), F.col("item_b").alias("category_b"), "n_ab", "n_a", "n_b", "n_baskets", F.round("lift", 6).alias("lift"))
+
+
+_PAIRS = """
+with a as (select distinct image_id, category_id from annotations
+           where image_id in (select id from images) and category_id in (select id from categories)),
+n as (select category_id, count(*) as n from a group by 1),
+t as (select count(distinct image_id) as n_baskets from a),
+p as (select x.category_id as category_a, y.category_id as category_b, count(*) as n_ab
+      from a x join a y on x.image_id = y.image_id and x.category_id < y.category_id group by 1, 2),
+r as (select category_a, category_b, n_ab, na.n as n_a, nb.n as n_b, n_baskets
+      from p join n na on na.category_id = category_a join n nb on nb.category_id = category_b, t)
+"""
+
+
+# --- p4: percentiles
+
+EPS = 0.002
+P4_FRACTIONS = (0.1, 0.5, 0.9, 0.99)
+
+
+def _box_area() -> Column:
+    finite = F.size("bbox") == 4
+    for i in range(4):
+        finite = finite & F.get("bbox", F.lit(i)).isNotNull() & (F.abs(F.get("bbox", F.lit(i))) < float("inf"))
+    w, h = F.get("bbox", F.lit(2)), F.get("bbox", F.lit(3))
+    return F.when(finite & (w > 0) & (h > 0), w * h)
+
+
+def _areas(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (category_id, day, measure, value) of distinct annotations, for box area and recorded area."""
+    annotations = table(spark, folder, "annotations").withColumn("box_area", _box_area())
+    one = _distinct(annotations, "category_id", "created_at", "box_area", "area")
+    values = F.explode(F.create_map(F.lit("box"), F.col("box_area"), F.lit("recorded"), F.col("area"))).alias("measure", "value")
+    return one.select("category_id", F.to_date("created_at").alias("day"), values).where(F.col("value").isNotNull())
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests bound both percentiles of each category; only categories they leave open are computed exactly."""
+    categories = table(spark, folder, "categories").where(F.col("id").isNotNull()).select(F.col("id").alias("category_id")).distinct()
+    annotations = table(spark, folder, "annotations").select("id", "category_id", _box_area().alias("box_area")).where(F.col("box_area").isNotNull())
+    boxes = _distinct(annotations.join(categories, "category_id", "left_semi"), "category_id", "box_area")
+    read = qt.percentiles(qt.digest(boxes, ["category_id"], F.col("box_area"), EPS), ["category_id"], (0.5, 0.9), EPS).where(F.col("n_values") >= 30)
+
+    def at(column: str, q: float) -> Column:
+        return F.max(F.when(F.col("fraction") == q, F.col(column)))
+
+    bounds = read.groupBy("category_id").agg(at("lower", 0.5).alias("m_lo"), at("upper", 0.5).alias("m_hi"), at("lower", 0.9).alias("t_lo"), at("upper", 0.9).alias("t_hi"))
+    bounds = bounds.where(F.col("t_hi") >= 8 * F.col("m_lo")).withColumn("sure", F.col("t_lo") >= 8 * F.col("m_hi"))
+    rows = bounds.collect()  # at most one row for each declared category
+    sure, unsure = [r["category_id"] for r in rows if r["sure"]], [r["category_id"] for r in rows if not r["sure"]]
+    found = spark.createDataFrame([(c,) for c in sure], "category_id long")
+    if not unsure:
+        return found
+    exact = weighted_percentiles(compress_values(boxes.where(F.col("category_id").isin(unsure)), ["category_id"], "box_area"), ["category_id"], "box_area", (0.5, 0.9))
+    two = exact.groupBy("category_id").agg(F.max(F.when(F.col("fraction") == 0.5, F.col("percentile"))).alias("m"), F.max(F.when(F.col("fraction") == 0.9, F.col("percentile"))).alias("t"))
+    return found.unionByName(two.where(F.col("t") >= 8 * F.col("m")).select("category_id"))
+
+
+def p4_daily(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of each category, measure and day, with their rank error."""
+    by = ["category_id", "measure", "day"]
+    return qt.percentiles(qt.digest(_areas(spark, folder), by, F.col("value"), EPS), by, P4_FRACTIONS, EPS)
+
+
+def p4_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of each category and measure from the merged daily digests."""
+    daily = qt.digest(_areas(spark, folder), ["category_id", "measure", "day"], F.col("value"), EPS)
+    by = ["category_id", "measure"]
+    return qt.percentiles(qt.merge(daily, by, EPS), by, P4_FRACTIONS, EPS)
+
+
+# --- p5: sample by target shares
+
+
+def _sample(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows = _distinct(table(spark, folder, "annotations").select("id", "category_id"), "category_id").select("id", F.col("category_id").alias("category"))
+    targets = table(spark, folder, "category_targets").withColumnRenamed("category_id", "category")
+    planned = sp.plan(rows, targets, size_share=1 / 3)
+    return planned, sp.draw(rows, planned, SEED)
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    planned, sample = _sample(spark, folder)
+    return sp.report(planned, sample).withColumnRenamed("category", "category_id").select("category_id", "observed", F.round("required", 6).alias("required"), "sampled", F.round("deficit", 6).alias("deficit"), F.round("reached_share", 9).alias("reached_share"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    planned, sample = _sample(spark, folder)
+    return sp.report(planned, sample).where(F.col("deficit") > 0).select(F.col("category").alias("category_id"))
+
+
+def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return _sample(spark, folder)[1].select(F.col("id").alias("annotation_id"), F.col("category").alias("category_id"))
+
+
+_TARGETS = """
+with a as (select id, any_value(category_id) as category_id from annotations where id is not null group by id),
+s as (select count(*) // 3 as s from a),
+n as (select category_id, count(*) as n from a group by 1),
+r as (select t.category_id, coalesce(n.n, 0) as observed, greatest(t.min_rows, t.target_share * s.s) as required
+      from category_targets t left join n using (category_id), s)
+"""
+
+
+# --- p8: containers
+
+
+def _sized(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", byte_tokens().alias("tokens"))
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return pk.pack(_sized(spark, folder), table(spark, folder, "container_sizes"), seed=SEED, n_items=table(spark, folder, "documents").count())
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).where((F.col("pieces") > 1) & (F.col("piece") == 0)).select("container_kind", "doc_id")
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)
+
+
+def p8_usage(spark: SparkSession, folder: str) -> DataFrame:
+    return pk.usage(_packed(spark, folder), table(spark, folder, "container_sizes"))
+
+
+# --- p9: mixing
+
+
+def _mix(spark: SparkSession, folder: str) -> mx.Mix:
+    docs = table(spark, folder, "documents").select("doc_id", F.array("source").alias("sources"), byte_tokens().alias("tokens"))
+    return mx.Mix(docs, table(spark, folder, "source_targets"), 0.5, SEED)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).report().where(F.col("deficit_tokens") > 0).select("source")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Quota and reached share of every source."""
+    return _mix(spark, folder).report().select("source", "size_tokens", F.round("quota_tokens", 3).alias("quota_tokens"), F.round("reached_tokens", 3).alias("reached_tokens"))
+
+
+def p9_selected(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).select()
+
+
+def p9_shared_commits(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares when copies of one text in several sources are one document of all of them."""
+    texts = table(spark, folder, "documents").select("doc_id", "source", F.sha2("text", 256).alias("text_hash"), byte_tokens().alias("tokens"))
+    docs = texts.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.collect_set("source").alias("sources"), F.first("tokens").alias("tokens"))
+    return mx.Mix(docs, table(spark, folder, "source_targets"), 0.5, SEED).report()
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_cooccurrence": p2_cooccurrence,
+    "p4_found": p4_found,
+    "p4_daily": p4_daily,
+    "p4_merged": p4_merged,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
+    "p5_sample": p5_sample,
+    "p8_found": p8_found,
+    "p8_packed": p8_packed,
+    "p8_usage": p8_usage,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
+    "p9_selected": p9_selected,
+    "p9_shared_commits": p9_shared_commits,
+}
+
+ORACLES = {
+    "p2_found": _PAIRS + "select category_a, category_b from r where n_ab * 1000 >= n_baskets * 18 and n_ab * n_baskets >= 3 * n_a * n_b",
+    "p2_cooccurrence": _PAIRS + "select category_a, category_b, n_ab, n_a, n_b, n_baskets, round(n_ab / (n_a * n_b::double / n_baskets), 6) as lift from r",
+    "p4_found": """
+with a as (select id, any_value(category_id) as category_id, any_value(bbox[3] * bbox[4]) as v from annotations
+           where id is not null and len(bbox) = 4 and coalesce(list_bool_and([isfinite(bbox[1]), isfinite(bbox[2]), isfinite(bbox[3]), isfinite(bbox[4])]), false)
+                 and bbox[3] > 0 and bbox[4] > 0 group by id)
+select category_id from a where category_id in (select id from categories) group by 1
+having count(*) >= 30 and quantile_cont(v, 0.9) >= 8 * quantile_cont(v, 0.5)
+""",
+    "p5_found": _TARGETS + "select category_id from r where observed < required",
+    "p5_report": _TARGETS + """,
+w as (select *, least(observed, cast(ceil(required) as bigint)) as sampled from r)
+select category_id, observed, round(required, 6) as required, sampled, round(greatest(required - sampled, 0.0), 6) as deficit,
+       round(sampled / sum(sampled) over (), 9) as reached_share from w
+""",
+    "p8_found": "select container_kind, doc_id from documents, container_sizes where strlen(text) > capacity_tokens",
+    "p9_found": """
+with d as (select source, sum(strlen(text)) as n from documents group by 1)
+select t.source from source_targets t left join d using (source)
+where coalesce(n, 0) * max_repeats < target_share * 0.5 * (select sum(strlen(text)) from documents)
+""",
+    "p9_shares": """
+with d as (select source, sum(strlen(text)) as n from documents group by 1),
+q as (select t.source, cast(coalesce(n, 0) as bigint) as size_tokens, max_repeats,
+             target_share * 0.5 * (select sum(strlen(text)) from documents) as quota from source_targets t left join d using (source))
+select source, size_tokens, round(quota, 3) as quota_tokens, round(least(quota, cast(size_tokens * max_repeats as double)), 3) as reached_tokens from q
+""",
+}
