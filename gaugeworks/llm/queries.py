@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm import cooccurrence as co
 from gaugeworks.llm import mixing as mx
+from gaugeworks.llm import neighbours as nb
 from gaugeworks.llm import packing as pk
+from gaugeworks.llm import pages as pg
 from gaugeworks.llm import quantiles as qt
 from gaugeworks.llm import sampling as sp
+from gaugeworks.llm import varied as vr
 from gaugeworks.llm.tokens import byte_tokens
 from gaugeworks.operators.hot_keys import compress_values, weighted_percentiles
 from gaugeworks.sources.tables import table
@@ -58,6 +61,28 @@ r as (select category_a, category_b, n_ab, na.n as n_a, nb.n as n_b, n_baskets
 """
 
 
+# --- p3: most similar vectors
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = nb.mutual_neighbours(table(spark, folder, "sample_vectors"), "sample_id", "embedding", 5, 0.92)
+    return pairs.select(F.col("a").alias("sample_a"), F.col("b").alias("sample_b"))
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar others, among all rows, of every sample whose id is divisible by 100."""
+    found = nb.nearest(table(spark, folder, "sample_vectors"), "sample_id", "embedding", 5, F.col("sample_id") % 100 == 0)
+    return found.select(F.col("a").alias("sample_id"), F.col("b").alias("neighbour_id"), "rank", F.round("cosine", 6).alias("cosine"))
+
+
+def p3_label_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of the neighbours that have the sample's own label, and the label they suggest."""
+    samples = table(spark, folder, "sample_vectors")
+    found = nb.nearest(samples, "sample_id", "embedding", 5, F.col("sample_id") % 100 == 0)
+    labels = samples.groupBy(F.col("sample_id").alias("id")).agg(F.first("label", ignorenulls=True).alias("label"))
+    return nb.label_agreement(found, labels).withColumnRenamed("id", "sample_id")
+
+
 # --- p4: percentiles
 
 EPS = 0.002
@@ -148,6 +173,18 @@ r as (select t.category_id, coalesce(n.n, 0) as observed, greatest(t.min_rows, t
 """
 
 
+# --- p6: varied subset
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return vr.crowded(table(spark, folder, "pool_vectors"), "pool_id", "embedding", "is_labeled", 15, 0.9).withColumnRenamed("id", "pool_id")
+
+
+def p6_subset(spark: SparkSession, folder: str) -> DataFrame:
+    """100 unlabelled records that cover the pool, given the labelled rows."""
+    return vr.choose(table(spark, folder, "pool_vectors"), "pool_id", "embedding", "is_labeled", 100).withColumnRenamed("id", "pool_id")
+
+
 # --- p8: containers
 
 
@@ -199,15 +236,39 @@ def p9_shared_commits(spark: SparkSession, folder: str) -> DataFrame:
     return mx.Mix(docs, table(spark, folder, "source_targets"), 0.5, SEED).report()
 
 
+# --- p10: spam pages
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pg.spam_pages(table(spark, folder, "documents")).where(F.col("score") >= 0.5).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability, host rate and score of every document."""
+    return pg.spam_pages(table(spark, folder, "documents"))
+
+
+_UNIT = """
+with e as (select {id} as id, any_value([cast(x as double) for x in embedding]) as v{keep} from {table}
+           where {id} is not null and len(embedding) = 64 and list_bool_and([x is not null and isfinite(x) for x in embedding])
+                 and list_bool_or([x <> 0 for x in embedding]) group by 1),
+v as (select * exclude (v), list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as u from e)
+"""
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_cooccurrence": p2_cooccurrence,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
+    "p3_label_agreement": p3_label_agreement,
     "p4_found": p4_found,
     "p4_daily": p4_daily,
     "p4_merged": p4_merged,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p5_sample": p5_sample,
+    "p6_found": p6_found,
+    "p6_subset": p6_subset,
     "p8_found": p8_found,
     "p8_packed": p8_packed,
     "p8_usage": p8_usage,
@@ -215,11 +276,18 @@ QUERIES = {
     "p9_shares": p9_shares,
     "p9_selected": p9_selected,
     "p9_shared_commits": p9_shared_commits,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
 }
 
 ORACLES = {
     "p2_found": _PAIRS + "select category_a, category_b from r where n_ab * 1000 >= n_baskets * 18 and n_ab * n_baskets >= 3 * n_a * n_b",
     "p2_cooccurrence": _PAIRS + "select category_a, category_b, n_ab, n_a, n_b, n_baskets, round(n_ab / (n_a * n_b::double / n_baskets), 6) as lift from r",
+    "p3_found": _UNIT.format(id="sample_id", table="sample_vectors", keep="") + """,
+p as (select a.id as a, b.id as b, list_inner_product(a.u, b.u) as c from v a join v b on a.id <> b.id and list_inner_product(a.u, b.u) >= 0.92),
+r as (select *, row_number() over (partition by a order by c desc, b) as rn from p)
+select x.a as sample_a, x.b as sample_b from r x join r y on x.a = y.b and x.b = y.a where x.a < x.b and x.rn <= 5 and y.rn <= 5
+""",
     "p4_found": """
 with a as (select id, any_value(category_id) as category_id, any_value(bbox[3] * bbox[4]) as v from annotations
            where id is not null and len(bbox) = 4 and coalesce(list_bool_and([isfinite(bbox[1]), isfinite(bbox[2]), isfinite(bbox[3]), isfinite(bbox[4])]), false)
@@ -232,6 +300,10 @@ having count(*) >= 30 and quantile_cont(v, 0.9) >= 8 * quantile_cont(v, 0.5)
 w as (select *, least(observed, cast(ceil(required) as bigint)) as sampled from r)
 select category_id, observed, round(required, 6) as required, sampled, round(greatest(required - sampled, 0.0), 6) as deficit,
        round(sampled / sum(sampled) over (), 9) as reached_share from w
+""",
+    "p6_found": _UNIT.format(id="pool_id", table="pool_vectors", keep=", bool_and(not coalesce(is_labeled, false)) as unlabelled") + """
+select a.id as pool_id from v a join v b on a.id <> b.id and list_inner_product(a.u, b.u) >= 0.9
+where a.unlabelled group by 1 having count(*) >= 15
 """,
     "p8_found": "select container_kind, doc_id from documents, container_sizes where strlen(text) > capacity_tokens",
     "p9_found": """
