@@ -3,10 +3,10 @@
 Each partition summarises its unit vectors as leaf entries (count, labelled count, linear
 sum); the square sum of unit vectors is the count. A vector joins the nearest entry whose
 centre is within the threshold, else begins one; when a summary holds too many entries
-the threshold grows and its entries are inserted again. Summaries of partitions are merged
-the same way, a few at a time, until one is left. Its size is bounded, so the driver
-agglomerates it by Ward linkage. The leaf entries also serve as the cells in which the
-neighbours of every vector are counted.
+the sparse ones are merged at a growing threshold. Summaries of partitions are merged the
+same way, a few at a time, until one is left. Its size is bounded, so the driver
+agglomerates it by Ward linkage. Dense leaf entries also settle which vectors have many
+neighbours, and serve as cells in which the neighbours of all others are counted.
 """
 
 from __future__ import annotations
@@ -22,41 +22,44 @@ from gaugeworks.session import cut_lineage
 
 #: Leaf entries of one summary: at most 4096 * 64 doubles, 2 MB.
 MAX_ENTRIES = 4096
-#: Vectors for one leaf entry on average, while the bound above allows.
-ENTRY_VECTORS = 192
 #: Summaries merged by one task.
 FAN_IN = 8
 START_THRESHOLD = 0.3
 
 
 class Summary:
-    """Leaf entries: ``n``, ``labelled`` and linear sum ``ls``; rows of ``ls`` / n are the centres."""
+    """Leaf entries: ``n``, ``labelled``, linear sum ``ls`` and ``reach``; rows of ``ls`` / n are the centres.
+
+    An entry takes vectors within its reach. When there are too many entries, the half
+    with the most vectors stays as it is and the others, mostly single vectors, are merged
+    at a growing threshold; so crowded places stay resolved.
+    """
 
     def __init__(self, dim: int, limit: int, threshold: float = START_THRESHOLD):
         import numpy as np
 
         self.limit, self.threshold = limit, threshold
-        self.n, self.labelled, self.ls = np.empty(0), np.empty(0), np.empty((0, dim))
+        self.n, self.labelled, self.ls, self.reach = np.empty(0), np.empty(0), np.empty((0, dim)), np.empty(0)
 
-    def add(self, n, labelled, ls) -> None:
+    def add(self, n, labelled, ls, reach) -> None:
         """Inserts entries (single vectors have n = 1), then makes room if need be."""
         import numpy as np
 
-        centres = ls / n[:, None]
         if len(self.n):
-            own = self.ls / self.n[:, None]
+            centres, own = (ls / n[:, None]).astype("float32"), (self.ls / self.n[:, None]).astype("float32")
             gap = (centres**2).sum(axis=1)[:, None] - 2 * centres @ own.T + (own**2).sum(axis=1)[None, :]
             near = gap.argmin(axis=1)
-            joins = gap[np.arange(len(n)), near] <= self.threshold**2
+            joins = (gap[np.arange(len(n)), near] <= self.reach[near] ** 2) & (reach <= self.reach[near])
             self._pour(near[joins], n[joins], labelled[joins], ls[joins])
-            n, labelled, ls = n[~joins], labelled[~joins], ls[~joins]
-        self._begin(n, labelled, ls)
+            n, labelled, ls, reach = n[~joins], labelled[~joins], ls[~joins], reach[~joins]
+        self._begin(n, labelled, ls, reach)
         while len(self.n) > self.limit:
             self.threshold *= 1.15
-            n, labelled, ls = self.n, self.labelled, self.ls
-            order = np.argsort(-n, kind="stable")
-            self.n, self.labelled, self.ls = np.empty(0), np.empty(0), np.empty((0, ls.shape[1]))
-            self._begin(n[order], labelled[order], ls[order])
+            order = np.argsort(-self.n, kind="stable")
+            keep, rest = order[: self.limit // 2], order[self.limit // 2 :]
+            loose = [a[rest] for a in (self.n, self.labelled, self.ls)]
+            self.n, self.labelled, self.ls, self.reach = (a[keep] for a in (self.n, self.labelled, self.ls, self.reach))
+            self._begin(*loose, np.full(len(rest), self.threshold))
 
     def _pour(self, into, n, labelled, ls) -> None:
         import numpy as np
@@ -65,38 +68,46 @@ class Summary:
         np.add.at(self.labelled, into, labelled)
         np.add.at(self.ls, into, ls)
 
-    def _begin(self, n, labelled, ls) -> None:
-        """New entries: the first vector left leads, those within the threshold of it join; until none is left."""
+    def _begin(self, n, labelled, ls, reach) -> None:
+        """New entries: the first vector left leads, those within its reach of it join; until none is left."""
         import numpy as np
 
         fresh = []
+        centres = (ls / n[:, None]).astype("float32")
+        square = (centres**2).sum(axis=1)
         while len(n):
-            centres = ls / n[:, None]
             # several leaders at once: the first of the rest and any that are not near an earlier one
-            head = centres[:128]
-            square = (head**2).sum(axis=1)
-            inner = square[:, None] - 2 * head @ head.T + square[None, :] <= self.threshold**2
+            head = centres[:256]
+            inner = square[:256, None] - 2 * head @ head.T + square[None, :256] <= (reach[:256] ** 2)[None, :]
             lead: list[int] = []
             for i in range(len(head)):
                 if not inner[i, lead].any():
                     lead.append(i)
-            gap = (centres**2).sum(axis=1)[:, None] - 2 * centres @ head[lead].T + square[lead][None, :]
+            gap = square[:, None] - 2 * centres @ head[lead].T + square[lead][None, :]
             near = gap.argmin(axis=1)
-            joins = gap[np.arange(len(n)), near] <= self.threshold**2
+            joins = gap[np.arange(len(n)), near] <= reach[lead][near] ** 2
             joins[lead], near[lead] = True, np.arange(len(lead))
             sums = [np.zeros((len(lead),) + a.shape[1:]) for a in (n, labelled, ls)]
             for total, a in zip(sums, (n, labelled, ls)):
                 np.add.at(total, near[joins], a[joins])
-            fresh.append(sums)
-            n, labelled, ls = n[~joins], labelled[~joins], ls[~joins]
+            fresh.append([*sums, reach[lead]])
+            n, labelled, ls, reach, centres, square = (a[~joins] for a in (n, labelled, ls, reach, centres, square))
         if fresh:
-            self.n, self.labelled, self.ls = (np.concatenate([old, *[f[i] for f in fresh]]) for i, old in enumerate((self.n, self.labelled, self.ls)))
+            self.n, self.labelled, self.ls, self.reach = (np.concatenate([old, *[f[i] for f in fresh]]) for i, old in enumerate((self.n, self.labelled, self.ls, self.reach)))
+
+    def dense(self, least: int = 8, length: float = 0.96):
+        """Unit centres of entries of at least ``least`` vectors whose mean has at least this length."""
+        import numpy as np
+
+        size = np.sqrt((self.ls**2).sum(axis=1))
+        at = (self.n >= least) & (size >= length * self.n)
+        return self.ls[at] / size[at][:, None]
 
     def frame(self, part: int) -> pd.DataFrame:
-        return pd.DataFrame({"part": part, "threshold": self.threshold, "n": self.n, "labelled": self.labelled, "ls": list(self.ls)})
+        return pd.DataFrame({"part": part, "threshold": self.threshold, "n": self.n, "labelled": self.labelled, "reach": self.reach, "ls": list(self.ls)})
 
 
-_ENTRY = "part int, threshold double, n double, labelled double, ls array<double>"
+_ENTRY = "part int, threshold double, n double, labelled double, reach double, ls array<double>"
 
 
 def summarise(df: DataFrame, vector: str, labelled: str, dim: int = 64, limit: int = MAX_ENTRIES) -> Summary:
@@ -115,15 +126,15 @@ def summarise(df: DataFrame, vector: str, labelled: str, dim: int = 64, limit: i
             unit = vx.normalised(flat)
             for s in range(0, len(unit), 4096):
                 part = unit[s : s + 4096]
-                summary.add(np.ones(len(part)), marks[s : s + 4096], part)
+                summary.add(np.ones(len(part)), marks[s : s + 4096], part, np.full(len(part), START_THRESHOLD))
         yield pa.RecordBatch.from_pandas(summary.frame(TaskContext.get().partitionId()).astype({"part": "int32"}), preserve_index=False)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        pdf = pdf.sort_values(["part", "n"], ascending=[True, False], kind="stable")
+        pdf = pdf.sort_values(["reach", "n", "part"], ascending=[True, False, True], kind="stable")
         whole = Summary(dim, limit, pdf["threshold"].median())
-        whole.add(pdf["n"].to_numpy(), pdf["labelled"].to_numpy(), np.stack(pdf["ls"].to_numpy()))
+        whole.add(*(pdf[c].to_numpy() for c in ("n", "labelled")), np.stack(pdf["ls"].to_numpy()), pdf["reach"].to_numpy())
         return whole.frame(int(pdf["part"].iloc[0]) // FAN_IN)
 
     entries = df.select(F.col(vector).cast("array<float>").alias("v"), F.col(labelled).alias("labelled")).where(F.size("v") == dim).mapInArrow(leaf, _ENTRY)
@@ -136,14 +147,10 @@ def summarise(df: DataFrame, vector: str, labelled: str, dim: int = 64, limit: i
     out = Summary(dim, limit, rows["threshold"].max() if len(rows) else START_THRESHOLD)
     if len(rows):
         order = np.lexsort((rows["ls"].map(lambda v: v[0]), -rows["n"]))
-        out.n, out.labelled, out.ls = rows["n"].to_numpy()[order], rows["labelled"].to_numpy()[order], np.stack(rows["ls"].to_numpy())[order]
+        out.n, out.labelled, out.reach, out.ls = *(rows[c].to_numpy()[order] for c in ("n", "labelled", "reach")), np.stack(rows["ls"].to_numpy())[order]
     return out
 
 
-def entry_limit(n_rows: int) -> int:
-    return int(min(MAX_ENTRIES, max(64, n_rows // ENTRY_VECTORS)))
-
-
 def ward(n, centres):
     """Merges (height, i, j) of Ward linkage by nearest-neighbour chain; numbers are of the first leaf of either side."""
     import numpy as np
@@ -225,7 +232,7 @@ def choose(df: DataFrame, ident: str, vector: str, labelled: str, k: int, dim: i
 
     spark = df.sparkSession
     schema = "id long, group_no int, group_size double, distance double"
-    summary = summarise(df, vector, labelled, dim, max(entry_limit(df.count()), min(MAX_ENTRIES, 8 * max(1, k))))
+    summary = summarise(df, vector, labelled, dim, int(min(MAX_ENTRIES, max(1024, 8 * k))))
     if k < 1 or not len(summary.n):
         return spark.createDataFrame([], schema)
     centres, sizes = group_centres(summary, k)
@@ -266,21 +273,30 @@ SPARE = 8
 def crowded(df: DataFrame, ident: str, vector: str, labelled: str, min_neighbours: int, min_similarity: float, dim: int = 64, probes: int = 6) -> DataFrame:
     """(id): unlabelled ids that have at least ``min_neighbours`` other distinct ids at cosine ``min_similarity`` or more.
 
-    Cells are the leaf entries of the cluster-feature tree. Equal vectors form one class
-    that weighs as many as it has distinct ids, so copies are never paired. Products of
-    codes decide a pair where their error bound allows; the others are computed exactly.
+    Vectors within half the angle of ``min_similarity`` of a dense leaf entry's centre are
+    neighbours of each other; where that many share a centre they are settled without
+    looking at pairs, however many they are. The others are counted in cells around the
+    dense centres and pivots of the rest. Equal vectors form one class that weighs as many
+    as it has distinct ids, so copies are never paired. Products of codes decide a pair
+    where their error bound allows; the others are computed exactly. An empty table gives
+    no rows.
     """
+    import numpy as np
+
     rows = df.withColumn("_labelled", F.coalesce(F.col(labelled), F.lit(False)))
-    summary = summarise(rows, vector, "_labelled", dim, entry_limit(df.count()))
-    centres = summary.ls / summary.n[:, None]
-    centres = vx.normalised(centres[(centres != 0).any(axis=1)])
-    coded = vx.code(rows, ident, vector, dim, centres, probes, keep=["_labelled"])
-    members = coded.groupBy("c", "id").agg(F.first("payload").alias("payload"), F.first("cells").alias("cells"), F.min("_labelled").alias("_labelled"))
+    centres = summarise(rows, vector, "_labelled", dim).dense()
+    pivots = np.concatenate([centres, vx.pivots_by_hash(df, ident, vector, dim, df.count()).reshape(-1, dim)])
+    half = float(np.cos(np.arccos(min_similarity) / 2)) + 1e-6
+    coded = vx.code(rows, ident, vector, dim, pivots, probes, keep=["_labelled"], core=(len(centres), half))
+    members = coded.groupBy("c", "id").agg(F.first("payload").alias("payload"), F.first("cells").alias("cells"), F.first("core").alias("core"), F.min("_labelled").alias("_labelled"))
     members = cut_lineage(members)
-    classes = members.groupBy("c").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("payload").alias("payload"), F.first("cells").alias("cells"))
+    # at most one row for each dense entry
+    full = members.where(F.col("core") >= 0).groupBy("core").agg(F.count_distinct("id").alias("n")).where(F.col("n") > min_neighbours).select("core")
+    settled = members.join(F.broadcast(full), "core", "left_semi")
+    classes = members.groupBy("c").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("payload").alias("payload"), F.first("cells").alias("cells"), F.first("core").alias("core"))
+    open_classes = classes.join(F.broadcast(full), "core", "left_anti")
 
     def count(x: vx.Block, y: vx.Block) -> dict:
-        import numpy as np
         import pyarrow as pa
 
         i, j, sims, bound = vx.tile_pairs(x, y, min_similarity, None)
@@ -291,10 +307,12 @@ def crowded(df: DataFrame, ident: str, vector: str, labelled: str, min_neighbour
         other = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(y.ids[j], pa.int64())])
         return {"a": np.concatenate((x.ids[some], x.ids[i])), "b": other, "n": np.concatenate((sums[some], y.weight[j]))}
 
-    counted = cut_lineage(vx.in_tiles(vx.tiles(classes.select("rep", "payload", "cells", "weight"), None, ["weight"]), count, "a long, b long, n long", dim, ["weight"]))
+    tiled = vx.tiles(classes.select("rep", "payload", "cells", "weight"), open_classes.select("rep", "payload", "cells"), ["weight"])
+    counted = cut_lineage(vx.in_tiles(tiled, count, "a long, b long, n long", dim, ["weight"]))
     vectors = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    open_pairs = vx.exact_cosines(counted.where(F.col("b").isNotNull()), vectors, dim).where(F.col("cosine") >= min_similarity).select("a", "n")
-    own = classes.where(F.col("weight") > 1).select(F.col("rep").alias("a"), (F.col("weight") - 1).alias("n"))
-    total = counted.where(F.col("b").isNull()).select("a", "n").unionByName(open_pairs).unionByName(own).groupBy("a").agg(F.sum("n").alias("n"))
-    found = classes.select("c", F.col("rep").alias("a")).join(total.where(F.col("n") >= min_neighbours), "a").select("c")
-    return members.where(~F.col("_labelled")).join(found, "c", "left_semi").select("id").distinct()
+    doubtful = vx.exact_cosines(counted.where(F.col("b").isNotNull()), vectors, dim).where(F.col("cosine") >= min_similarity).select("a", "n")
+    own = open_classes.where(F.col("weight") > 1).select(F.col("rep").alias("a"), (F.col("weight") - 1).alias("n"))
+    total = counted.where(F.col("b").isNull()).select("a", "n").unionByName(doubtful).unionByName(own).groupBy("a").agg(F.sum("n").alias("n"))
+    found = open_classes.select("c", F.col("rep").alias("a")).join(total.where(F.col("n") >= min_neighbours), "a").select("c")
+    free = ~F.col("_labelled")
+    return settled.where(free).select("id").unionByName(members.where(free).join(found, "c", "left_semi").select("id")).distinct()

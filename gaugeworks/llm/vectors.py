@@ -153,8 +153,12 @@ def pivots_by_hash(df: DataFrame, ident: str, vector: str, dim: int, n_rows: int
     return normalised(matrix / np.abs(matrix).max(axis=1)[:, None]) if len(matrix) else matrix
 
 
-def code(df: DataFrame, ident: str, vector: str, dim: int, pivots, probes: int, keep: Sequence[str] = ()) -> DataFrame:
-    """(c, id, payload, cells, keep...) of the usable rows; c is equal for equal vectors, cells are the ``probes`` nearest pivots, nearest first."""
+def code(df: DataFrame, ident: str, vector: str, dim: int, pivots, probes: int, keep: Sequence[str] = (), core: tuple[int, float] | None = None) -> DataFrame:
+    """(c, id, payload, cells, core, keep...) of the usable rows; c is equal for equal vectors, cells are the ``probes`` nearest pivots, nearest first.
+
+    ``core`` = (m, s) marks rows whose cosine with the nearest of the first m pivots is at
+    least s by that pivot's number; other rows have -1.
+    """
     held = df.sparkSession.sparkContext.broadcast(pivots.astype("float32"))
 
     def run(batches: Iterator) -> Iterator:
@@ -174,15 +178,19 @@ def code(df: DataFrame, ident: str, vector: str, dim: int, pivots, probes: int,
                 best = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(pivot) else np.tile(np.arange(len(pivot)), (len(near), 1))
                 best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, axis=1), axis=1, kind="stable"), axis=1)
             else:
-                best = np.zeros((len(rows), 1), dtype="int64")
+                near, best = np.zeros((len(rows), 1)), np.zeros((len(rows), 1), dtype="int64")
+            inside = np.full(len(rows), -1, dtype="int32")
+            if core and core[0]:
+                first = near[:, : core[0]].argmax(axis=1)
+                inside = np.where(near[np.arange(len(rows)), first] >= core[1], first, -1).astype("int32")
             cells = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, best.shape[1], dtype="int32")), pa.array(best.astype("int32").ravel()))
             ids = batch.column(0).take(pa.array(rows)).cast(pa.int64())
             keys = [p.tobytes() for p in class_keys(unit)]
             others = [batch.column(2 + i).take(pa.array(rows)) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), ids, pa.array([p.tobytes() for p in payload], pa.binary()), cells, *others], names=["c", "id", "payload", "cells", *keep])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), ids, pa.array([p.tobytes() for p in payload], pa.binary()), cells, pa.array(inside), *others], names=["c", "id", "payload", "cells", "core", *keep])
 
     inputs = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), *keep)
-    schema = StructType.fromDDL("c binary, id long, payload binary, cells array<int>")
+    schema = StructType.fromDDL("c binary, id long, payload binary, cells array<int>, core int")
     for k in keep:
         schema = schema.add(inputs.schema[k])
     return inputs.where(F.col("id").isNotNull() & (F.size("v") == dim)).mapInArrow(run, schema)
