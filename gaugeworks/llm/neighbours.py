@@ -41,7 +41,7 @@ def _spread(edges: DataFrame, classes: DataFrame, both: bool) -> DataFrame:
     return edges.select("a", "b", "cosine")
 
 
-def mutual_neighbours(df: DataFrame, ident: str, vector: str, k: int, min_similarity: float, dim: int = 64, probes: int = 4) -> DataFrame:
+def mutual_neighbours(df: DataFrame, ident: str, vector: str, k: int, min_similarity: float, dim: int = 64, probes: int = 5) -> DataFrame:
     """(a, b, cosine) with a < b: each is among the k most similar others of the other, cosine at least ``min_similarity``.
 
     Unusable vectors and null ids are left out. Equal cosines are ordered by id. Rows that
