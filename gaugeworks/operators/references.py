@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 BLOCK_BITS = 14
 #: A referenced key is hot when it holds at least this share of all references, so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 0.002
+#: Lives of a key that are compared column by column; keys with more are compared row by row.
+LIFE_SLOTS = 4
 
 
 def key_runs(keys: DataFrame, key: str = "key", by: Sequence[str] = ()) -> DataFrame:
@@ -45,6 +47,21 @@ def match_runs(keys: DataFrame, runs: DataFrame, by: Sequence[str] = ()) -> Data
     return matched.select(*by, "_row.*", "run_end", F.coalesce(F.col("_at") <= F.col("run_end"), F.lit(False)).alias("exists"))
 
 
+def _lives_at(begin: str, end: str | None = None) -> tuple[Column, Column]:
+    """(live, begun) for the first LIFE_SLOTS lives: whether one spans [begin, end], and whether one had begun.
+
+    Spelled out by slot: a predicate with a lambda that reads other columns may be pushed
+    to a side of a join that lacks them.
+    """
+    live = begun = F.lit(False)
+    for i in range(LIFE_SLOTS):
+        life = F.get("lives", F.lit(i))
+        on = F.coalesce(life["added_at"] <= F.col(begin), F.lit(False))
+        begun = begun | on
+        live = live | (on & F.coalesce(life["deleted_at"] > F.col(end or begin), F.lit(True)))
+    return live, begun
+
+
 def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """(ref_id, ref_field, key, at, ref_state) of references without a live parent.
 
@@ -61,8 +78,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     used = refs.groupBy("ref_field", "key").agg(F.count(F.lit(1)).alias("n_refs"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("at").alias("n_at"))
     matched = match_runs(used, key_runs(parents, by=["ref_field"]), by=["ref_field"])
     # a life that spans all references of a key settles them together
-    spans = F.exists("lives", lambda p: (p.added_at <= F.col("first_at")) & (p.deleted_at.isNull() | (p.deleted_at > F.col("last_at"))))
-    settled = (F.col("n_at") == F.col("n_refs")) & F.coalesce(spans, F.lit(False))
+    settled = (F.col("n_at") == F.col("n_refs")) & _lives_at("first_at", "last_at")[0]
     missing = matched.where(~F.col("exists")).select("ref_field", "key", "n_refs", F.lit(None).cast(lives.schema["lives"].dataType).alias("lives"))
     doubtful = matched.where("exists").join(lives, ["ref_field", "key"]).where(~settled).select("ref_field", "key", "n_refs", "lives").unionByName(missing)
     total = refs.agg(F.count(F.lit(1)).alias("_all"))
@@ -73,10 +89,14 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     tagged = refs.join(F.broadcast(hot_keys), ["ref_field", "key"], "left")
     hot = tagged.where("_is_hot").drop("_is_hot").join(F.broadcast(doubtful.where("_hot").drop("_hot")), ["ref_field", "key"])
     cold = tagged.where(F.col("_is_hot").isNull()).drop("_is_hot").join(doubtful.where(~F.col("_hot")).drop("_hot"), ["ref_field", "key"])
-    live = F.exists("lives", lambda p: (p.added_at <= F.col("at")) & (p.deleted_at.isNull() | (p.deleted_at > F.col("at"))))
-    begun = F.exists("lives", lambda p: p.added_at <= F.col("at"))
-    state = F.when(F.col("lives").isNull(), "missing").when(F.coalesce(begun, F.lit(False)), "deleted").otherwise("late")
-    return hot.unionByName(cold).where(~F.coalesce(live, F.lit(False))).select("ref_id", "ref_field", "key", "at", state.alias("ref_state"))
+    both = hot.unionByName(cold).select("ref_id", "ref_field", "key", "at", "lives")
+    live, begun = _lives_at("at")
+    state = F.when(F.col("lives").isNull(), "missing").when(begun, "deleted").otherwise("late")
+    few = both.where((F.coalesce(F.size("lives"), F.lit(0)) <= LIFE_SLOTS) & ~live).select("ref_id", "ref_field", "key", "at", state.alias("ref_state"))
+    each = both.where(F.size("lives") > LIFE_SLOTS).select("ref_id", "ref_field", "key", "at", F.explode("lives").alias("_l"))
+    on = F.coalesce(F.col("_l.added_at") <= F.col("at"), F.lit(False))
+    many = each.groupBy("ref_id", "ref_field", "key", "at").agg(F.bool_or(on).alias("_begun"), F.bool_or(on & F.coalesce(F.col("_l.deleted_at") > F.col("at"), F.lit(True))).alias("_live"))
+    return few.unionByName(many.where(~F.col("_live")).select("ref_id", "ref_field", "key", "at", F.when(F.col("_begun"), "deleted").otherwise("late").alias("ref_state")))
 
 
 def annotation_references(annotations: DataFrame, images: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame]:

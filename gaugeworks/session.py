@@ -8,8 +8,9 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str | int = "*", name: str = "gaugeworks", shuffle_partitions: int = 8, memory: str = "4g") -> SparkSession:
-    spark = (
+def local_session(cores: str | int = "*", name: str = "gaugeworks", shuffle_partitions: int = 8, memory: str = "4g", **options: str) -> SparkSession:
+    """``options`` are further settings, with ``__`` for the dots of their names."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -18,8 +19,10 @@ def local_session(cores: str | int = "*", name: str = "gaugeworks", shuffle_part
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for name, value in options.items():
+        builder = builder.config(name.replace("__", "."), value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
