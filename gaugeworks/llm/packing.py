@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,16 +60,18 @@ def pack(items: DataFrame, containers: DataFrame, group_documents: int = GROUP_D
         n_items = items.count()
     groups = max(1, round(n_items / group_documents))
     kind_of = {r["container_kind"]: r["capacity"] for r in kinds}
+    names = ["container_kind", "group_id", "container_no", "doc_id", "piece", "pieces", "tokens"]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, table):
         import numpy as np
+        import pyarrow as pa
 
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        docs, tokens = pdf["doc_id"].to_numpy(), pdf["tokens"].to_numpy(dtype="int64")
+        table = table.sort_by("doc_id").combine_chunks()
+        docs, tokens = table.column("doc_id"), table.column("tokens").to_numpy().astype("int64")
         out = []
         for kind, capacity in sorted(kind_of.items()):
             pieces = np.maximum(1, -(-tokens // capacity))
-            row = np.repeat(np.arange(len(docs)), pieces)
+            row = np.repeat(np.arange(len(tokens)), pieces)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             size = np.minimum(capacity, tokens[row] - piece * capacity)
             full, part = np.flatnonzero(size == capacity), np.flatnonzero(size < capacity)
@@ -78,14 +79,15 @@ def pack(items: DataFrame, containers: DataFrame, group_documents: int = GROUP_D
             number = np.empty(len(row), dtype="int64")
             number[full] = np.arange(len(full))
             number[part] = np.array(first_fit_decreasing(size[part].tolist(), capacity), dtype="int64") + len(full)
-            out.append(pd.DataFrame({"container_kind": kind, "group_id": key[0], "container_no": number, "doc_id": docs[row], "piece": piece, "pieces": pieces[row], "tokens": size}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("container_kind", "group_id", "container_no", "doc_id", "piece", "pieces", "tokens")})
+            n = len(row)
+            out.append(pa.table([pa.array([kind] * n, pa.string()), pa.array([key[0].as_py()] * n, pa.int64()), pa.array(number), docs.take(pa.array(row)), pa.array(piece), pa.array(pieces[row]), pa.array(size)], names=names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.string())] + [pa.array([], pa.int64())] * 6, names=names)
 
     sized = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
-    # documents without an id spread by their size, so that they cannot crowd into one group
-    group = F.pmod(F.xxhash64(F.coalesce("doc_id", F.col("tokens")), F.lit(seed)), F.lit(groups)).cast("long")
+    # documents without an id spread by their place, so that they cannot crowd into one group
+    group = F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), F.lit(seed)), F.lit(groups)).cast("long")
     schema = "container_kind string, group_id long, container_no long, doc_id long, piece long, pieces long, tokens long"
-    return sized.withColumn("group_id", group).groupBy("group_id").applyInPandas(run, schema)
+    return sized.withColumn("group_id", group).groupBy("group_id").applyInArrow(run, schema)
 
 
 def usage(packed: DataFrame, containers: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def draw(rows: DataFrame, planned: DataFrame, seed: int = 42) -> DataFrame:
     """
     bounded = planned.count() <= MAX_BROADCAST_CATEGORIES
     side = planned.where(F.col("wanted") > 0).select("category", "wanted", "lo", "hi")
-    marked = rows.join(F.broadcast(side) if bounded else side, "category").withColumn("u", uniform("id", seed)).where(F.col("u") < F.col("hi"))
+    marked = rows.select("id", "category").join(F.broadcast(side) if bounded else side, "category").withColumn("u", uniform("id", seed)).where(F.col("u") < F.col("hi"))
     below = marked.where(F.col("u") < F.col("lo")).groupBy("category").agg(F.count(F.lit(1)).alias("n_below"))
     band = marked.where(F.col("u") >= F.col("lo")).withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy("u", "id")))
     band = band.join(F.broadcast(below) if bounded else below, "category", "left").where(F.col("rank") <= F.col("wanted") - F.coalesce("n_below", F.lit(0)))

@@ -127,7 +127,8 @@ def summarise(df: DataFrame, vector: str, labelled: str, dim: int = 64, limit: i
             for s in range(0, len(unit), 4096):
                 part = unit[s : s + 4096]
                 summary.add(np.ones(len(part)), marks[s : s + 4096], part, np.full(len(part), START_THRESHOLD))
-        yield pa.RecordBatch.from_pandas(summary.frame(TaskContext.get().partitionId()).astype({"part": "int32"}), preserve_index=False)
+        if len(summary.n):
+            yield pa.RecordBatch.from_pandas(summary.frame(TaskContext.get().partitionId()).astype({"part": "int32"}), preserve_index=False)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
