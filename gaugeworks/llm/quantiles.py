@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 #: Cells for each power of two: a value is known within a factor of 1 + 2 ** -MANTISSA_BITS.
 MANTISSA_BITS = 9
-#: Powers of two told apart; smaller magnitudes count as zero, larger ones fall in the last cell.
+#: Powers of two told apart; smaller magnitudes count as zero. Larger ones share the last cell, whose upper bound is infinite.
 LOW_POWER, HIGH_POWER = -64, 63
 #: 2 ** 16 cells for each sign, with one more level for the sign.
 DEPTH = 17
