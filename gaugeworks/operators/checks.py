@@ -47,7 +47,7 @@ def overlapping_pairs(annotations: DataFrame, min_iou: float) -> DataFrame:
     Such boxes differ little in size and place: widths and heights by a factor of
     1 / min_iou at most, corners by 1 - min_iou of the larger side. So the equi join also
     takes octaves of both sizes and a grid as wide as the octave, in which only the first
-    box is repeated, twice or so. A crowded image is spread over its cells; no two boxes
+    box is repeated, twice or so at 0.85 and more the lower ``min_iou``. A crowded image is spread over its cells; no two boxes
     that lie apart are ever compared. The pair's first box is the one of lower ``ord``.
     """
     if not 0 < min_iou <= 1:
@@ -69,9 +69,12 @@ def overlapping_pairs(annotations: DataFrame, min_iou: float) -> DataFrame:
     near = 1 / min_iou * slack
     a = boxes.select("image_id", "category_id", F.col("ann_id").alias("a_id"), F.col("ord").alias("a_ord"), F.col("bbox").alias("a_box"), "x", "y", "w", "h")
     for side, at in (("w", "x"), ("h", "y")):
-        reach = F.col(side) * ((1 - min_iou) * near + 1e-9)
         a = a.withColumn(f"k{side}", F.explode(F.sequence(octave(F.col(side) / near), octave(F.col(side) * near))))
-        a = a.withColumn(f"c{side}", F.explode(F.sequence(cell(F.col(at) - reach, F.col(f"k{side}")), cell(F.col(at) + reach, F.col(f"k{side}")))))
+        # the overlap is min_iou of the larger side at least, so the partner begins at most this far before or after
+        room = 1 - min_iou + 1e-9
+        before = F.least(F.col(side) * near, F.pow(F.lit(2.0), F.col(f"k{side}") + 1)) * room
+        after = F.col(side) * room
+        a = a.withColumn(f"c{side}", F.explode(F.sequence(cell(F.col(at) - before, F.col(f"k{side}")), cell(F.col(at) + after, F.col(f"k{side}")))))
     b = boxes.select("image_id", "category_id", F.col("ann_id").alias("b_id"), F.col("ord").alias("b_ord"), F.col("bbox").alias("b_box"), octave(F.col("w")).alias("kw"), octave(F.col("h")).alias("kh"), "x", "y")
     b = b.withColumn("cw", cell(F.col("x"), F.col("kw"))).withColumn("ch", cell(F.col("y"), F.col("kh"))).drop("x", "y")
     met = a.drop("x", "y", "w", "h").join(b, ["image_id", "category_id", "kw", "kh", "cw", "ch"]).where((F.col("a_ord") < F.col("b_ord")))

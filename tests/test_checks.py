@@ -22,7 +22,7 @@ def test_each_issue(spark):
         [0.0, 0.0, 101.1, 5.0], [-0.1, 0.0, 5.0, 5.0], [], [1.0, None, 2.0, 2.0], [9.0, 9.0, -1.0, -2.0], [40.0, 40.0, 2.0, 2.0],
     ]
     data = dataset(spark, [(1, 100, 100)], [(1, "a")], [(1, 1, b) for b in boxes])
-    assert kinds(data) == sorted([(0, "out_of_bounds"), (1, "tiny_box"), (2, "missing_bbox"), (3, "malformed_bbox"), (4, "degenerate_bbox"), (6, "out_of_bounds"), (7, "out_of_bounds"), (8, "malformed_bbox"), (10, "tiny_box"), (10, "degenerate_bbox"), (9, "tiny_box")]) or kinds(data) == sorted([(0, "out_of_bounds"), (1, "tiny_box"), (2, "missing_bbox"), (3, "malformed_bbox"), (4, "degenerate_bbox"), (6, "out_of_bounds"), (7, "out_of_bounds"), (8, "malformed_bbox"), (10, "tiny_box"), (10, "degenerate_bbox")])
+    assert kinds(data) == sorted([(0, "out_of_bounds"), (1, "tiny_box"), (2, "missing_bbox"), (3, "malformed_bbox"), (4, "degenerate_bbox"), (6, "out_of_bounds"), (7, "out_of_bounds"), (8, "malformed_bbox"), (10, "tiny_box"), (10, "degenerate_bbox")])
 
 
 def test_sizes_unknown_images_and_categories(spark):
@@ -43,7 +43,7 @@ def brute_pairs(rows, least):
     return out
 
 
-@pytest.mark.parametrize("least", [0.05, 0.5, 0.85, 1.0])
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.85, 1.0])
 def test_overlaps_match_brute_force(spark, least):
     rng = random.Random(5)
     rows = []
@@ -78,7 +78,7 @@ def test_duplicates_report_and_bad_threshold(spark):
 def test_crowded_image_gives_the_same_issues(spark):
     data = dataset(spark, [(i, 100, 100) for i in range(50)], [(1, "a")], [(0 if n % 2 else n % 50, 1, [99.0, 99.0, 5.0, float(n % 3)]) for n in range(600)])
     got = ck.simple_issues(data).groupBy("issue_type").count().collect()
-    assert {r["issue_type"]: r["count"] for r in got} == {"out_of_bounds": 600, "degenerate_bbox": 200} or {r["issue_type"]: r["count"] for r in got}["degenerate_bbox"] == 200
+    assert {r["issue_type"]: r["count"] for r in got} == {"out_of_bounds": 600, "degenerate_bbox": 200}
 
 
 def test_streamed_checks_equal_batch(spark, tmp_path):
