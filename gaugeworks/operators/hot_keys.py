@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gaugeworks.session import cut_lineage
+
 
 def compress_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows (keys..., value, n): how often each value occurs under each key; null values keep their own row."""
@@ -54,35 +56,31 @@ def weighted_percentiles(compressed: DataFrame, keys: Sequence[str], value: str,
     reaches the fraction. Null values and null keys are ignored; NaN sorts last.
 
     Slices come from a range partitioning on (keys, value), which splits a hot key;
-    offsets are sums over the slices before, one row per key and slice.
+    offsets are sums over the slices before, one row per key and slice. The slices are
+    written to the checkpoint folder when the function is called.
     """
     keys = list(keys)
     rows = compressed.where(_all_known(keys) & F.col(value).isNotNull()).select(*keys, value, "n")
-    sliced = rows.repartitionByRange(*[F.col(k) for k in keys], F.col(value)).withColumn("_slice", F.spark_partition_id())
-    # the slice is a result of the partitioning, so it is carried as data from here on
-    per_slice = sliced.groupBy(*keys, "_slice").agg(F.sum("n").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    # written once: the borders come from a sample, so a second run could cut elsewhere
+    sliced = cut_lineage(rows.repartitionByRange(*[F.col(k) for k in keys], F.col(value)).withColumn("_slice", F.spark_partition_id()))
+    per_slice = sliced.groupBy(*keys, "_slice").agg(F.sum("n").alias("_n"))
     by_key = Window.partitionBy(*keys)
-    before = by_key.orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     per_slice = per_slice.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("n_rows", F.sum("_n").over(by_key))
     wanted = F.array(*[F.struct(F.lit(float(q)).alias("fraction"), r.alias("_lo_rank"), h.alias("_hi_rank"), w.alias("_w")) for q in fractions for r, h, w in [_ranks(float(q), interpolate)]])
     # only slices that hold a wanted rank go on
     needed = (
         per_slice.withColumn("_q", F.explode(wanted))
-        .select(*keys, "_lo", "_hi", "_before", "_n", "n_rows", "_q.*")
+        .select(*keys, "_slice", "_before", "_n", "n_rows", "_q.*")
         .withColumn("_rank", F.explode(F.array_distinct(F.array("_lo_rank", "_hi_rank"))))
         .where((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_n")))
     )
-    slices = needed.select(*keys, "_lo", "_hi", "_before").distinct()
-    side = slices.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_lo").alias("_s"), F.col("_hi").alias("_e"), "_before")
-    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
-    inside = (
-        rows.join(side, [*same, F.col(value) >= F.col("_s"), F.col(value) <= F.col("_e")])
-        .select(*[f"_k{i}" for i in range(len(keys))], F.col(value).alias("_v"), F.col("n").alias("_c"), "_s", "_before")
-        .withColumn("_end", F.col("_before") + F.sum("_c").over(Window.partitionBy(*[f"_k{i}" for i in range(len(keys))], "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("_before")
-    )
-    ends = needed.select(*keys, F.col("_lo").alias("_s2"), "fraction", "n_rows", "_lo_rank", "_w", "_rank")
-    found = inside.join(ends, [*same, F.col("_s") == F.col("_s2"), F.col("_rank") <= F.col("_end"), F.col("_rank") > F.col("_end") - F.col("_c")])
+    here = [*keys, "_slice"]
+    running = F.sum("n").over(Window.partitionBy(*here).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    slices = needed.select(*here, "_before").distinct()
+    inside = sliced.join(slices, here).select(*here, F.col(value).alias("_v"), F.col("n").alias("_c"), (F.col("_before") + running).alias("_end"))
+    ends = needed.select(*here, "fraction", "n_rows", "_lo_rank", "_w", "_rank")
+    found = inside.join(ends, here).where((F.col("_rank") <= F.col("_end")) & (F.col("_rank") > F.col("_end") - F.col("_c")))
     found = found.select(*keys, "fraction", "n_rows", "_rank", "_lo_rank", "_w", "_v")
     lo = F.max(F.when(F.col("_rank") == F.col("_lo_rank"), F.col("_v")))
     hi = F.max(F.when(F.col("_rank") != F.col("_lo_rank"), F.col("_v")))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from gaugeworks.functions.plans import broadcast_if_small
 from gaugeworks.operators.hot_keys import weighted_percentiles
+from gaugeworks.session import cut_lineage
 from gaugeworks.sources.coco import Dataset
 
 
@@ -105,6 +106,7 @@ def bbox_statistics(data: Dataset) -> DataFrame:
     # images are joined after boxes are counted by their values, which also settles crowded images
     boxes = data.annotations.where(finite).select("image_id", b[2].alias("w"), b[3].alias("h")).groupBy("image_id", "w", "h").agg(F.count(F.lit(1)).alias("n"))
     boxes = boxes.join(data.images.select("image_id"), "image_id", "left_semi").groupBy("w", "h").agg(F.sum("n").alias("n"))
+    boxes = cut_lineage(boxes)  # read by every statistic below; else its scans and joins would run for each
     area = F.col("w") * F.col("h")
     measures = boxes.crossJoin(F.broadcast(mean_area)).select(  # one row
         "n",
