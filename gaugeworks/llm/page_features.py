@@ -120,6 +120,7 @@ def features(text: str | None) -> list[float]:
     spam_words: Counter = Counter()
     lines = links = link_words = 0
     phrases: list[tuple[int, list[str]]] = []
+    unended: list[tuple[int, list[str]]] = []
     in_message = {True: 0, False: 0}
     for part in (message, added):
         for raw in part:
@@ -139,6 +140,8 @@ def features(text: str | None) -> list[float]:
                 if what == "link":
                     links += len(_LINK.findall(line))
                     link_words += len(words)
+            elif what == "prose" and len(words) <= 14 and line[-1] not in ".!?:":
+                unended.append((n, words))
             elif what == "phrase":
                 phrases.append((n, words))
                 spam_words.update(words)
@@ -147,6 +150,13 @@ def features(text: str | None) -> list[float]:
     total = sum(size.values())
     if not total:
         return [0.0] * len(NAMES)
+    # a short line without an end is stuffed if it is made of the words that stuffed lines repeat
+    topics = {w for w, c in spam_words.items() if c >= 3} if size["repeat"] else set()
+    if topics:
+        for n, words in unended:
+            if sum(w in topics for w in words) >= 0.6 * len(words):
+                size["prose"] -= n
+                size["repeat"] += n
     # phrases count as repeated where their words come again and again
     counts = Counter(w for _, ws in phrases for w in ws)
     again = sum(n for n, ws in phrases if len(phrases) >= 6 and sum(counts[w] for w in ws) >= 0.12 * len(phrases) * len(ws))

@@ -20,6 +20,8 @@ from gaugeworks.session import cut_lineage
 TRAINING_PAGES = 6_000
 #: A page is weakly labelled spam above, and clean below, these shares of stuffing.
 SPAM_ABOVE, CLEAN_BELOW = 0.62, 0.35
+#: The ramp over the share of stuffing begins and ends here.
+RAMP = (0.2, 0.8)
 TREES, DEPTH, LEAF, BINS = 25, 6, 4, 24
 #: Weight of the host's rate, and pages with the overall rate that each host is given.
 HOST_WEIGHT, HOST_PRIOR = 0.12, 20.0
@@ -94,7 +96,8 @@ def train(x, y, seed: int = 7) -> Forest:
                 return here
             f, at = best[1:]
             low = binned[rows, f] <= at
-            nodes[here][:2] = [f, float(edges[f][at])]
+            # halfway between the sides, so that values no training page has go to the nearer one
+            nodes[here][:2] = [f, float(x[rows[low], f].max() + x[rows[~low], f].min()) / 2]
             nodes[here][2] = grow(rows[low], depth - 1)
             nodes[here][3] = grow(rows[~low], depth - 1)
             return here
@@ -110,6 +113,9 @@ def spam_pages(docs: DataFrame, ident: str = "doc_id", text: str = "text", host:
     A null or empty text has no features and is never spam. Pages with a null host are one
     host. Repeated ids are scored row by row. Without labels of both classes the weak label
     itself is the probability. An empty table gives no rows.
+
+    The probability is the mean of the trees' and of a ramp over the share of stuffing, so
+    that trees which split on a chance feature cannot outvote a page's own lines.
     """
     import numpy as np
 
@@ -127,7 +133,9 @@ def spam_pages(docs: DataFrame, ident: str = "doc_id", text: str = "text", host:
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.empty((0, len(NAMES)))
-            p = held.value.predict(x) if held.value else (x[:, NAMES.index("spam_share")] >= SPAM_ABOVE).astype("float64")
+            stuffed = x[:, NAMES.index("spam_share")]
+            ramp = np.clip((stuffed - RAMP[0]) / (RAMP[1] - RAMP[0]), 0.0, 1.0)
+            p = (held.value.predict(x) + ramp) / 2 if held.value else (stuffed >= SPAM_ABOVE).astype("float64")
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "host": pdf["host"], "probability": np.where(x[:, 0] > 0, p, 0.0)})
 
     scored = pages.mapInPandas(predict, "doc_id long, host string, probability double")
