@@ -1,8 +1,10 @@
 """Most similar vectors for every vector: block matrix join.
 
-See ``vectors`` for coding, cells and tiles. Every row is indexed; a class is compared
-with all classes of the cells it looks into, so what is lost is lost by a neighbour lying
-in a cell too far away. README states the recall measured against brute force.
+See ``vectors`` for coding, cells and tiles. Every row is indexed. ``nearest`` loses
+nothing: a class looks wherever the bound on its k-th cosine leaves room. In
+``mutual_neighbours`` a class is compared with all classes of the cells it looks into, so
+what is lost is lost by a neighbour lying in a cell too far away. README states the recall
+measured against brute force.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from gaugeworks.session import cut_lineage
 PAIR = "a long, b long"
 
 
-def _near(k: int, floor: float | None, dim: int, tiled: DataFrame) -> DataFrame:
+def _near(k: int, floor: float, dim: int, tiled: DataFrame) -> DataFrame:
     """(a, b): per tile, the candidates b for the k best of a."""
 
     def work(x: vx.Block, y: vx.Block) -> dict:
@@ -68,14 +70,30 @@ def nearest(df: DataFrame, ident: str, vector: str, k: int, queries=None, dim: i
 
     ``queries`` is a condition on rows of ``df``; None takes every row. All usable rows are
     searched. Ties are ordered by id; copies of a query's own vector come first with cosine
-    1. Fewer than k rows come out where fewer others are in the cells looked into.
+    1. Fewer than k rows come out only where there are fewer others. The k-th cosine found
+    in the ``probes`` nearest cells bounds the angle within which all others are then
+    looked at; where vectors are spread wide, that is most of the table for each query.
     """
     pivots = vx.pivots_by_hash(df, ident, vector, dim, df.count())
     classes = cut_lineage(vx.lowest_members(vx.code(df, ident, vector, dim, pivots, 1), k + 1))
     asked = cut_lineage(vx.code(df if queries is None else df.where(queries), ident, vector, dim, pivots, probes))
     looking = asked.groupBy("c").agg(F.first("payload").alias("payload"), F.first("cells").alias("cells")).join(classes.select("c", "rep"), "c")
-    directed = _near(k, None, dim, vx.tiles(classes, looking))
-    pairs = cut_lineage(directed.select("a", "b").distinct())
+
+    def sure(x: vx.Block, y: vx.Block) -> dict:
+        i, _, sims, bound = vx.tile_pairs(x, y, None, k)
+        return {"a": x.ids[i], "least": sims - bound}
+
+    def rest(x: vx.Block, y: vx.Block) -> dict:
+        i, j, _, _ = vx.tile_pairs(x, y, x.least, k)
+        return {"a": x.ids[i], "b": y.ids[j]}
+
+    first = vx.in_tiles(vx.tiles(classes, looking), sure, "a long, least double", dim)
+    kth = first.groupBy("a").agg(F.get(F.sort_array(F.collect_list("least"), asc=False), F.lit(k - 1)).alias("least"))
+    looking = looking.join(kth.withColumnRenamed("a", "rep"), "rep", "left").withColumn("least", F.greatest(F.coalesce("least", F.lit(-1.0)), F.lit(-1.0)))
+    looking = cut_lineage(looking.select("rep", "payload", "least", F.acos(F.least("least", F.lit(1.0))).alias("reach")))
+    base, looking = vx.within_bounds(classes.select("rep", "payload", "cells"), looking, pivots, dim)
+    directed = vx.in_tiles(vx.tiles(base.withColumn("least", F.lit(-1.0)), looking, ["least"]), rest, PAIR, dim, ["least"])
+    pairs = cut_lineage(directed.distinct())
     rows = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
     # the best k classes of each looking class hold its best k others
     edges = _best(vx.exact_cosines(pairs, rows, dim), k).select("a", "b", "cosine")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from gaugeworks.session import cut_lineage
+
 #: Classes of a cell on average, while the number of pivots is below its bound.
 CELL_CLASSES = 256
 #: Pivots are sent to all tasks: at most this many, so 4 MB at 64 values.
@@ -24,6 +26,12 @@ MAX_PIVOTS = 16_384
 TILE_CLASSES = 8_192
 #: Rows of a tile multiplied at once.
 STRIP = 512
+#: A class with at least this cosine with its pivot is in the inner shell of its cell.
+INNER = 0.7
+#: Classes of a region of inner shells; outer shells, which bounds seldom exclude, fill a tile.
+REGION_CLASSES = 1_024
+#: Radians that angles from codes and float32 pivots are off at most.
+ANGLE_SLACK = 4e-3
 
 KEY_BYTES, HEAD_BYTES = 16, 8
 #: Needed ids that are sent to all tasks when vectors are looked up; more are joined by a shuffle.
@@ -93,15 +101,16 @@ class Block:
         self.high_error = np.sqrt((rest * rest).sum(axis=1)) + self.error
 
 
-def tile_pairs(x: Block, y: Block, floor: float | None, k: int | None):
+def tile_pairs(x: Block, y: Block, floor, k: int | None):
     """Pairs (row in x, row in y, cosine, error bound) that may be among the k best of their x and reach ``floor``.
 
-    int8 products with their bound first, then the surviving pairs from the 16-bit codes.
+    ``floor`` is None, a number, or a number for each row of x. int8 products with their bound first, then the surviving pairs from the 16-bit codes.
     Pairs of equal ids are left out.
     """
     import numpy as np
 
     found = []
+    floors = None if floor is None else np.broadcast_to(np.asarray(floor, dtype="float64"), len(x.scale))
     widest = y.high_error.max(initial=0.0)
     for start in range(0, len(x.scale), STRIP):
         rows = slice(start, start + STRIP)
@@ -110,10 +119,10 @@ def tile_pairs(x: Block, y: Block, floor: float | None, k: int | None):
         if k is not None and len(y.scale) > k + 1:
             # the k + 1 best, as one of them may be the class itself
             kth = np.partition(rough, len(y.scale) - k - 1, axis=1)[:, len(y.scale) - k - 1] - 2 * slack
-            least = kth if floor is None else np.maximum(kth, floor - slack)
+            least = kth if floor is None else np.maximum(kth, floors[rows] - slack)
             i, j = np.nonzero(rough >= least[:, None])
         elif floor is not None:
-            i, j = np.nonzero(rough >= floor - slack)
+            i, j = np.nonzero(rough >= (floors[rows] - slack).astype("float32")[:, None])
         else:
             i, j = (a.ravel() for a in np.indices(rough.shape))
         i = i + start
@@ -126,7 +135,7 @@ def tile_pairs(x: Block, y: Block, floor: float | None, k: int | None):
         sims[s : s + 65_536] = np.einsum("ij,ij->i", x.codes[a].astype("float64"), y.codes[b].astype("float64")) * x.scale[a] * y.scale[b]
     bound = x.error[i] * (1 + y.error[j]) + y.error[j] + 1e-7
     if floor is not None:
-        keep = sims + bound >= floor
+        keep = sims + bound >= floors[i]
         i, j, sims, bound = i[keep], j[keep], sims[keep], bound[keep]
     if k is not None and len(i):
         order = np.lexsort((-(sims - bound), i))
@@ -236,6 +245,75 @@ def tiles(base: DataFrame, probing: DataFrame | None, carry: Sequence[str] = ())
     return cut.select("tile", *rest, F.explode(places).alias("_p")).select("tile", "_p.*", *rest)
 
 
+def within_bounds(base: DataFrame, looking: DataFrame, pivots, dim: int) -> tuple[DataFrame, DataFrame]:
+    """``base`` and ``looking`` with regions as ``cells``: in ``tiles`` a looking class meets all of base within its ``reach``.
+
+    base: (rep, payload, cells, ...) coded with ``pivots``; looking: (rep, payload, reach, ...),
+    reach an angle. The inner and the outer shell of a cell have a least and a greatest
+    angle to their pivot. By the triangle inequality a shell is left out if the class is
+    further from the pivot than the greatest angle and the reach, or if the class and its
+    reach end nearer to its own pivot than the shell's classes are to any.
+    """
+    if not len(pivots):
+        return base.withColumn("cells", F.array(F.lit(0))), looking.withColumn("cells", F.array(F.lit(0)))
+    context = base.sparkSession.sparkContext
+    held = context.broadcast(pivots.astype("float32"))
+
+    def units(batch):
+        block = Block(None, batch.column(batch.schema.get_field_index("payload")).to_pylist(), dim)
+        return block.codes * block.scale[:, None]
+
+    def place(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = batch.column(batch.schema.get_field_index("cells")).to_numpy(zero_copy_only=False)
+            cell = np.array([c[0] for c in cell], dtype="int32")
+            cosine = np.einsum("ij,ij->i", units(batch), held.value[cell]).clip(-1, 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell * 2 + (cosine < INNER).astype("int32")), pa.array(np.arccos(cosine))], names=[*batch.schema.names, "_shell", "_angle"])
+
+    placed = cut_lineage(base.mapInArrow(place, StructType([*base.schema, *StructType.fromDDL("_shell int, _angle double")])))
+    # at most two rows for each pivot
+    shells = placed.groupBy("_shell").agg(F.count(F.lit(1)).alias("n"), F.min("_angle").alias("least"), F.max("_angle").alias("most")).collect()
+    shells.sort(key=lambda r: (r["_shell"] % 2, r["_shell"]))
+    region, number, filled, outer = {}, -1, 0, None
+    for r in shells:
+        if number < 0 or outer != r["_shell"] % 2 or filled + r["n"] > (TILE_CLASSES if outer else REGION_CLASSES):
+            number, filled, outer = number + 1, 0, r["_shell"] % 2
+        filled += r["n"]
+        region[r["_shell"]] = number
+    bounds = context.broadcast([(r["_shell"] // 2, r["least"], r["most"], region[r["_shell"]]) for r in shells])
+
+    def look(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        if not bounds.value:
+            return
+        cell, least, most, at = (np.array(c) for c in zip(*bounds.value))
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit, reach = units(batch).astype("float32"), batch.column(batch.schema.get_field_index("reach")).to_numpy() + ANGLE_SLACK
+            cells = []
+            for s in range(0, len(unit), STRIP):
+                far = np.arccos((unit[s : s + STRIP] @ held.value.T).clip(-1, 1))
+                room = reach[s : s + STRIP, None]
+                meets = (far[:, cell] - most <= room) & (least - far.min(axis=1)[:, None] <= room)
+                cells += [np.flatnonzero(m).astype("int32") for m in np.logical_or.reduceat(meets, starts, axis=1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
+
+    looking = looking.drop("cells")
+    seen = looking.mapInArrow(look, StructType([*looking.schema, *StructType.fromDDL("cells array<int>")]))
+    to_region = F.broadcast(base.sparkSession.createDataFrame([(s, n) for s, n in region.items()], "_shell int, _region int"))
+    based = placed.join(to_region, "_shell").withColumn("cells", F.array("_region")).select(*base.columns)
+    return based, seen
+
+
 def in_tiles(tiled: DataFrame, work, schema: str, dim: int, carry: Sequence[str] = ()) -> DataFrame:
     """Runs ``work(x_block, y_block) -> dict of columns`` in every tile; blocks have the carried columns as attributes."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -150,3 +150,23 @@ def test_empty(spark):
     assert nb.nearest(none, "vid", "emb", 5, None, DIM).count() == 0
     assert vr.crowded(none, "vid", "emb", "lab", 2, 0.9, DIM).count() == 0
     assert vr.choose(none, "vid", "emb", "lab", 3, DIM).count() == 0
+
+
+@pytest.fixture
+def small_cells(monkeypatch):
+    """Some 250 cells of four rows, as many cells as large tables have."""
+    plain = vx.pivots_by_hash
+    monkeypatch.setattr(vx, "pivots_by_hash", lambda *a: plain(*a, per_cell=4))
+    monkeypatch.setattr(vx, "TILE_CLASSES", 200)
+    monkeypatch.setattr(vx, "REGION_CLASSES", 50, raising=False)
+
+
+def test_search_is_exact_with_many_cells(frame, points, small_cells):
+    s = similarities(points)
+    rows = nb.nearest(frame, "vid", "emb", 5, F.col("vid") % 10 == 0, DIM, probes=2).collect()
+    got: dict = {}
+    for r in rows:
+        got.setdefault(r["a"], []).append(s[r["a"], r["b"]])
+    assert set(got) == {i for i in range(len(s)) if i % 10 == 0}
+    for a, found in got.items():
+        assert np.allclose(np.sort(found)[::-1], np.sort(s[a])[::-1][:5], atol=1e-9)
