@@ -6,7 +6,7 @@ centre is within the threshold, else begins one; when a summary holds too many e
 the sparse ones are merged at a growing threshold. Summaries of partitions are merged the
 same way, a few at a time, until one is left. Its size is bounded, so the driver
 agglomerates it by Ward linkage. Dense leaf entries also settle which vectors have many
-neighbours, and serve as cells in which the neighbours of all others are counted.
+neighbours, and are centres of cells in which the neighbours of all others are counted.
 """
 
 from __future__ import annotations
@@ -271,13 +271,14 @@ def choose(df: DataFrame, ident: str, vector: str, labelled: str, k: int, dim: i
 SPARE = 8
 
 
-def crowded(df: DataFrame, ident: str, vector: str, labelled: str, min_neighbours: int, min_similarity: float, dim: int = 64, probes: int = 6) -> DataFrame:
+def crowded(df: DataFrame, ident: str, vector: str, labelled: str, min_neighbours: int, min_similarity: float, dim: int = 64) -> DataFrame:
     """(id): unlabelled ids that have at least ``min_neighbours`` other distinct ids at cosine ``min_similarity`` or more.
 
     Vectors within half the angle of ``min_similarity`` of a dense leaf entry's centre are
     neighbours of each other; where that many share a centre they are settled without
-    looking at pairs, however many they are. The others are counted in cells around the
-    dense centres and pivots of the rest. Equal vectors form one class that weighs as many
+    looking at pairs, however many they are. The others are counted exactly: each looks into
+    all cells, around the dense centres and pivots of the rest, that the angle of
+    ``min_similarity`` does not exclude. Equal vectors form one class that weighs as many
     as it has distinct ids, so copies are never paired. Products of codes decide a pair
     where their error bound allows; the others are computed exactly. An empty table gives
     no rows.
@@ -288,7 +289,7 @@ def crowded(df: DataFrame, ident: str, vector: str, labelled: str, min_neighbour
     centres = summarise(rows, vector, "_labelled", dim).dense()
     pivots = np.concatenate([centres, vx.pivots_by_hash(df, ident, vector, dim, df.count()).reshape(-1, dim)])
     half = float(np.cos(np.arccos(min_similarity) / 2)) + 1e-6
-    coded = vx.code(rows, ident, vector, dim, pivots, probes, keep=["_labelled"], core=(len(centres), half))
+    coded = vx.code(rows, ident, vector, dim, pivots, 1, keep=["_labelled"], core=(len(centres), half))
     members = coded.groupBy("c", "id").agg(F.first("payload").alias("payload"), F.first("cells").alias("cells"), F.first("core").alias("core"), F.min("_labelled").alias("_labelled"))
     members = cut_lineage(members)
     # at most one row for each dense entry
@@ -308,7 +309,9 @@ def crowded(df: DataFrame, ident: str, vector: str, labelled: str, min_neighbour
         other = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(y.ids[j], pa.int64())])
         return {"a": np.concatenate((x.ids[some], x.ids[i])), "b": other, "n": np.concatenate((sums[some], y.weight[j]))}
 
-    tiled = vx.tiles(classes.select("rep", "payload", "cells", "weight"), open_classes.select("rep", "payload", "cells"), ["weight"])
+    reach = F.lit(float(np.arccos(min_similarity)))
+    base, looking = vx.within_bounds(classes.select("rep", "payload", "cells", "weight"), open_classes.select("rep", "payload", reach.alias("reach")), pivots, dim)
+    tiled = vx.tiles(base, looking, ["weight"])
     counted = cut_lineage(vx.in_tiles(tiled, count, "a long, b long, n long", dim, ["weight"]))
     vectors = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
     doubtful = vx.exact_cosines(counted.where(F.col("b").isNotNull()), vectors, dim).where(F.col("cosine") >= min_similarity).select("a", "n")

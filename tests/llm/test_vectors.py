@@ -170,3 +170,12 @@ def test_search_is_exact_with_many_cells(frame, points, small_cells):
     assert set(got) == {i for i in range(len(s)) if i % 10 == 0}
     for a, found in got.items():
         assert np.allclose(np.sort(found)[::-1], np.sort(s[a])[::-1][:5], atol=1e-9)
+
+
+@pytest.mark.parametrize("least, floor", [(8, 0.9), (3, 0.8)])
+def test_crowded_is_exact_with_many_cells_and_nothing_settled(frame, points, small_cells, monkeypatch, least, floor):
+    monkeypatch.setattr(vr.Summary, "dense", lambda self: np.empty((0, DIM)))
+    s = similarities(points)
+    want = {i for i in range(len(s)) if i % 5 and (s[i] >= floor).sum() >= least}
+    got = [r["id"] for r in vr.crowded(frame, "vid", "emb", "lab", least, floor, DIM).collect()]
+    assert sorted(got) == sorted(want)
