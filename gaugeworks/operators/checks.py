@@ -49,6 +49,8 @@ def overlapping_pairs(annotations: DataFrame, min_iou: float) -> DataFrame:
     takes octaves of both sizes and a grid as wide as the octave, in which only the first
     box is repeated, twice or so at 0.85 and more the lower ``min_iou``. A crowded image is spread over its cells; no two boxes
     that lie apart are ever compared. The pair's first box is the one of lower ``ord``.
+    Left out are boxes with a value that is null, not finite or of 1e15 and more in size,
+    or with a side of 1e-9 or less.
     """
     if not 0 < min_iou <= 1:
         raise ValueError("min_iou must be above 0 and at most 1")
