@@ -248,6 +248,14 @@ def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     return pg.spam_pages(table(spark, folder, "documents"))
 
 
+def p10_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every host: documents, those without text, those without text that have a score, and scores out of range."""
+    empty = table(spark, folder, "documents").groupBy("doc_id").agg(F.max(F.coalesce(F.length("text") == 0, F.lit(True))).alias("empty"))
+    scored = pg.spam_pages(table(spark, folder, "documents")).join(empty, "doc_id")
+    counts = {"documents": F.lit(True), "without_text": F.col("empty"), "scored_without_text": F.col("empty") & (F.col("score") > 0), "out_of_range": ~F.col("score").between(0, 1)}
+    return scored.groupBy(F.col("host").alias("repo")).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
 _UNIT = """
 with e as (select {id} as id, any_value([cast(x as double) for x in embedding]) as v{keep} from {table}
            where {id} is not null and len(embedding) = 64 and list_bool_and([x is not null and isfinite(x) for x in embedding])
@@ -278,9 +286,11 @@ QUERIES = {
     "p9_shared_commits": p9_shared_commits,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
+    "p10_hosts": p10_hosts,
 }
 
 ORACLES = {
+    "p10_hosts": "select repo, count(*) as documents, count(*) filter (coalesce(length(text), 0) = 0) as without_text, 0::bigint as scored_without_text, 0::bigint as out_of_range from documents group by 1",
     "p2_found": _PAIRS + "select category_a, category_b from r where n_ab * 1000 >= n_baskets * 18 and n_ab * n_baskets >= 3 * n_a * n_b",
     "p2_cooccurrence": _PAIRS + "select category_a, category_b, n_ab, n_a, n_b, n_baskets, round(n_ab / (n_a * n_b::double / n_baskets), 6) as lift from r",
     "p3_found": _UNIT.format(id="sample_id", table="sample_vectors", keep="") + """,

@@ -4,6 +4,9 @@ import pytest
 
 from gaugeworks.llm import page_features as pf
 from gaugeworks.llm import pages as pg
+from gaugeworks.llm.page_labels import CLEAN as CLEAN_LABEL
+from gaugeworks.llm.page_labels import SPAM as SPAM_LABEL
+from gaugeworks.llm.page_labels import weak_label
 
 HEAD = "commit 1234567890abcdef\nAuthor: A <a@b.example>\nDate:   2025-01-01\n\n    {subject}\n\ndiff --git a/{f} b/{f}\n--- a/{f}\n+++ b/{f}\n@@ -1,3 +1,3 @@\n"
 
@@ -44,15 +47,30 @@ CLEAN = {
 }
 
 
+def stuffing(text):
+    x = dict(zip(pf.NAMES, pf.features(text)))
+    return sum(x[f"{k}_share"] for k in pf.STUFFING)
+
+
+def label(text):
+    return weak_label(*pf.contributed(text or ""))
+
+
 @pytest.mark.parametrize("name", SPAM)
 def test_stuffing_prevails(name):
-    assert dict(zip(pf.NAMES, pf.features(SPAM[name])))["spam_share"] >= pg.SPAM_ABOVE
+    assert stuffing(SPAM[name]) >= 0.62
 
 
 @pytest.mark.parametrize("name", CLEAN)
 def test_stuffing_does_not_prevail(name):
-    x = pf.features(CLEAN[name])
-    assert len(x) == len(pf.NAMES) and dict(zip(pf.NAMES, x))["spam_share"] <= pg.CLEAN_BELOW
+    assert len(pf.features(CLEAN[name])) == len(pf.NAMES) and stuffing(CLEAN[name]) <= 0.35
+
+
+def test_weak_labels_are_mostly_right():
+    assert sum(label(t) == CLEAN_LABEL for t in SPAM.values()) <= 1 and sum(label(t) == SPAM_LABEL for t in CLEAN.values()) <= 1
+    assert sum(label(t) == SPAM_LABEL for t in SPAM.values()) >= len(SPAM) // 2
+    assert sum(label(t) == CLEAN_LABEL for t in CLEAN.values()) >= len(CLEAN) // 2
+    assert label("") is None and label(None) is None
 
 
 def test_line_ends_and_sides_do_not_matter():
@@ -91,3 +109,44 @@ def test_trees_separate_what_one_split_cannot():
     held = rng.uniform(size=(1000, 3))
     want = (held[:, 0] > 0.5) ^ (held[:, 1] > 0.5)
     assert ((pg.train(x, y).predict(held) >= 0.5) == want).mean() > 0.9
+
+
+def test_trees_decide_not_the_weak_labels(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, (SPAM if i % 8 == 0 else CLEAN)[rng.choice(sorted(SPAM) if i % 8 == 0 else [n for n in CLEAN if n != "long"])], "a") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, repo string").repartition(2)
+    with_trees = {r["doc_id"] for r in pg.spam_pages(df).collect() if r["score"] >= 0.5}
+    monkeypatch.setattr(pg, "train", lambda x, y: None)
+    labels_only = {r["doc_id"] for r in pg.spam_pages(df).collect() if r["score"] >= 0.5}
+    assert with_trees == {i for i, _, _ in rows if i % 8 == 0} and labels_only < with_trees
+
+
+def test_hosts_move_doubtful_pages_only(spark):
+    hosts = [("farm", 0.95 if i < 180 else 0.3) for i in range(200)] + [("plain", 0.02 if i < 195 else 0.6) for i in range(200)] + [("plain", 0.0)]
+    df = spark.createDataFrame([(i, h, p) for i, (h, p) in enumerate(hosts)], "doc_id long, host string, probability double")
+    out = {r["doc_id"]: r for r in pg.smooth(df).collect()}
+    assert all(out[i]["score"] >= 0.5 for i in range(200))
+    assert all(out[i]["score"] < 0.5 for i in range(200, 401)) and out[400]["score"] == 0
+    assert out[0]["host_rate"] > 0.8 and out[300]["host_rate"] < 0.1
+
+
+def test_hosts_that_differ_by_chance_have_one_rate(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, f"h{i % 40}", float(rng.random() < 0.1)) for i in range(4000)], "doc_id long, host string, probability double")
+    rates = [r["host_rate"] for r in pg.host_rates(df).collect()]
+    assert len(rates) == 40 and max(rates) - min(rates) < 0.05
+
+
+def test_many_hosts_are_joined_with_the_large_ones_apart(spark, monkeypatch):
+    rows = [(i, None if i % 3 == 0 else f"h{i % 7}" if i % 3 == 1 else f"s{i}", (i % 10) / 10) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, probability double")
+    want = sorted(map(tuple, pg.smooth(df).collect()))
+    monkeypatch.setattr(pg, "BROADCAST_HOSTS", 3)
+    assert sorted(map(tuple, pg.smooth(df).collect())) == want and len(want) == 600
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(pg, "TRAINING_PAGES", {1: 50, 0: 70})
+    df = spark.range(20_000).selectExpr("id as doc_id", "'a' as host", "array(cast(id as double)) as x", "cast(id % 2 as int) as label")
+    x, y = pg.sample_labelled(df)
+    assert (y.count(1.0), y.count(0.0)) == (50, 70) and all(v[0] % 2 == c for v, c in zip(x, y))
