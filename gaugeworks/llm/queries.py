@@ -221,19 +221,40 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Quota and reached share of every source."""
-    return _mix(spark, folder).report().select("source", "size_tokens", F.round("quota_tokens", 3).alias("quota_tokens"), F.round("reached_tokens", 3).alias("reached_tokens"))
+    """Quota of every source and what of it the plan reaches."""
+    return _mix(spark, folder).plan().select("source", "size_tokens", F.round("quota_tokens", 3).alias("quota_tokens"), F.round("planned_tokens", 3).alias("reached_tokens"))
 
 
 def p9_selected(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).select()
 
 
+def _kept_promises(mix: mx.Mix, largest: DataFrame) -> DataFrame:
+    """(source, quota_tokens, within_caps, near_plan, within_quota) of a mix; ``largest`` is one row with the size of the largest document."""
+    r = mix.report().crossJoin(F.broadcast(largest))  # one row
+    near = F.abs(F.col("selected_tokens") - F.col("planned_tokens")) <= 2 * F.col("parts") * F.col("largest") + 1
+    return r.select("source", F.round("quota_tokens", 3).alias("quota_tokens"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_caps"), near.alias("near_plan"), (F.col("planned_tokens") <= F.col("quota_tokens") + 1e-3).alias("within_quota"))
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the selected documents keep to each source's quota, plan and repeats."""
+    return _kept_promises(_mix(spark, folder), table(spark, folder, "documents").agg(F.max(byte_tokens()).alias("largest")))
+
+
+def _shared(spark: SparkSession, folder: str) -> DataFrame:
+    texts = table(spark, folder, "documents").select("doc_id", "source", F.sha2("text", 256).alias("text_hash"), byte_tokens().alias("tokens"))
+    return texts.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.collect_set("source").alias("sources"), F.first("tokens").alias("tokens"))
+
+
 def p9_shared_commits(spark: SparkSession, folder: str) -> DataFrame:
     """Shares when copies of one text in several sources are one document of all of them."""
-    texts = table(spark, folder, "documents").select("doc_id", "source", F.sha2("text", 256).alias("text_hash"), byte_tokens().alias("tokens"))
-    docs = texts.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.collect_set("source").alias("sources"), F.first("tokens").alias("tokens"))
-    return mx.Mix(docs, table(spark, folder, "source_targets"), 0.5, SEED).report()
+    return mx.Mix(_shared(spark, folder), table(spark, folder, "source_targets"), 0.5, SEED).report()
+
+
+def p9_shared_report(spark: SparkSession, folder: str) -> DataFrame:
+    """``p9_report`` when copies of one text in several sources are one document of all of them."""
+    docs = _shared(spark, folder)
+    return _kept_promises(mx.Mix(docs, table(spark, folder, "source_targets"), 0.5, SEED), docs.agg(F.max("tokens").alias("largest")))
 
 
 # --- p10: spam pages
@@ -283,7 +304,9 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_shares": p9_shares,
     "p9_selected": p9_selected,
+    "p9_report": p9_report,
     "p9_shared_commits": p9_shared_commits,
+    "p9_shared_report": p9_shared_report,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
     "p10_hosts": p10_hosts,
@@ -326,5 +349,11 @@ with d as (select source, sum(strlen(text)) as n from documents group by 1),
 q as (select t.source, cast(coalesce(n, 0) as bigint) as size_tokens, max_repeats,
              target_share * 0.5 * (select sum(strlen(text)) from documents) as quota from source_targets t left join d using (source))
 select source, size_tokens, round(quota, 3) as quota_tokens, round(least(quota, cast(size_tokens * max_repeats as double)), 3) as reached_tokens from q
+""",
+    "p9_report": """
+select source, round(target_share * 0.5 * (select sum(strlen(text)) from documents), 3) as quota_tokens, true as within_caps, true as near_plan, true as within_quota from source_targets
+""",
+    "p9_shared_report": """
+select source, round(target_share * 0.5 * (select sum(n) from (select any_value(strlen(text)) as n from documents group by text)), 3) as quota_tokens, true as within_caps, true as near_plan, true as within_quota from source_targets
 """,
 }
