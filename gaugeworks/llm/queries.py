@@ -185,6 +185,18 @@ def p6_subset(spark: SparkSession, folder: str) -> DataFrame:
     return vr.choose(table(spark, folder, "pool_vectors"), "pool_id", "embedding", "is_labeled", 100).withColumnRenamed("id", "pool_id")
 
 
+def p6_subset_report(spark: SparkSession, folder: str) -> DataFrame:
+    """For subsets of 100 and of 3000 records: how many came out, how many ids they have, how many of them are labelled."""
+    pool = table(spark, folder, "pool_vectors")
+    labelled = pool.where("is_labeled").select(F.col("pool_id").alias("id"), F.lit(True).alias("_l")).distinct()
+    out = None
+    for asked in (100, 3000):
+        chosen = vr.choose(pool, "pool_id", "embedding", "is_labeled", asked).join(labelled, "id", "left")
+        one = chosen.agg(F.lit(asked).cast("long").alias("asked"), F.count(F.lit(1)).alias("chosen"), F.count_distinct("id").alias("ids"), F.count("_l").alias("labelled"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- p8: containers
 
 
@@ -298,6 +310,7 @@ QUERIES = {
     "p5_sample": p5_sample,
     "p6_found": p6_found,
     "p6_subset": p6_subset,
+    "p6_subset_report": p6_subset_report,
     "p8_found": p8_found,
     "p8_packed": p8_packed,
     "p8_usage": p8_usage,
@@ -337,6 +350,10 @@ select category_id, observed, round(required, 6) as required, sampled, round(gre
     "p6_found": _UNIT.format(id="pool_id", table="pool_vectors", keep=", bool_and(not coalesce(is_labeled, false)) as unlabelled") + """
 select a.id as pool_id from v a join v b on a.id <> b.id and list_inner_product(a.u, b.u) >= 0.9
 where a.unlabelled group by 1 having count(*) >= 15
+""",
+    "p6_subset_report": _UNIT.format(id="pool_id", table="pool_vectors", keep=", bool_and(not coalesce(is_labeled, false)) as unlabelled") + """
+select asked, least(asked, n) as chosen, least(asked, n) as ids, 0::bigint as labelled
+from (select count(*) filter (unlabelled) as n from v), (select unnest([100, 3000])::bigint as asked)
 """,
     "p8_found": "select container_kind, doc_id from documents, container_sizes where strlen(text) > capacity_tokens",
     "p9_found": """

@@ -182,17 +182,16 @@ def code(df: DataFrame, ident: str, vector: str, dim: int, pivots, probes: int,
                 continue
             unit = normalised(flat)
             payload = encode(unit)
-            if len(pivot):
-                near = unit.astype("float32") @ pivot.T
-                best = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(pivot) else np.tile(np.arange(len(pivot)), (len(near), 1))
-                best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, axis=1), axis=1, kind="stable"), axis=1)
-            else:
-                near, best = np.zeros((len(rows), 1)), np.zeros((len(rows), 1), dtype="int64")
-            inside = np.full(len(rows), -1, dtype="int32")
-            if core and core[0]:
-                first = near[:, : core[0]].argmax(axis=1)
-                inside = np.where(near[np.arange(len(rows)), first] >= core[1], first, -1).astype("int32")
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, best.shape[1], dtype="int32")), pa.array(best.astype("int32").ravel()))
+            best, inside = np.zeros((len(rows), m), dtype="int32"), np.full(len(rows), -1, dtype="int32")
+            # a strip at a time, as all rows by all pivots would not fit
+            for s in range(0, len(rows) if len(pivot) else 0, STRIP):
+                near = unit[s : s + STRIP].astype("float32") @ pivot.T
+                some = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(pivot) else np.tile(np.arange(len(pivot)), (len(near), 1))
+                best[s : s + STRIP] = np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, axis=1), axis=1, kind="stable"), axis=1)
+                if core and core[0]:
+                    first = near[:, : core[0]].argmax(axis=1)
+                    inside[s : s + STRIP] = np.where(near[np.arange(len(near)), first] >= core[1], first, -1)
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, best.shape[1], dtype="int32")), pa.array(best.ravel()))
             ids = batch.column(0).take(pa.array(rows)).cast(pa.int64())
             keys = [p.tobytes() for p in class_keys(unit)]
             others = [batch.column(2 + i).take(pa.array(rows)) for i in range(len(keep))]

@@ -129,6 +129,33 @@ def test_choose_covers_groups_and_passes_over_labelled_ones(spark):
     assert vr.choose(df, "vid", "emb", "lab", 0, DIM).count() == 0
 
 
+@pytest.mark.parametrize("k, slices", [(150, 65_536), (150, 60), (300, 65_536), (5000, 65_536)])
+def test_choose_gives_as_many_as_asked(frame, points, monkeypatch, k, slices):
+    monkeypatch.setattr(vr, "MAX_ENTRIES", 512)
+    monkeypatch.setattr(vr, "SLICE_ROWS", slices)
+    rows = vr.choose(frame, "vid", "emb", "lab", k, DIM).collect()
+    free = [i for i in range(len(points)) if i % 5]
+    ids = [r["id"] for r in rows]
+    assert len(ids) == len(set(ids)) == min(k, len(free)) and set(ids) <= set(free)
+    # each unlabelled vector is about as near to a chosen or labelled one as farthest-first picks would be
+    u = unit(points.astype("float64"))
+    far = lambda chosen: np.sqrt(np.maximum(2 - 2 * (u[free] @ u[chosen].T).max(axis=1), 0))
+    labelled = [i for i in range(len(points)) if i % 5 == 0]
+    picks, d = [], far(labelled)
+    for _ in range(len(ids)):
+        picks.append(free[int(d.argmax())])
+        d = np.minimum(d, far(picks[-1:]))
+    assert far(labelled + ids).mean() <= 1.3 * far(labelled + picks).mean() + 1e-9
+
+
+def test_records_next_to_centres_fill_up(frame, points):
+    # all vectors are in two groups of copies
+    assert vr.least_rank([(3, 2), (1, 5)], 9) == 2 and vr.least_rank([(3, 2), (1, 5)], 99) == 3 and vr.least_rank([], 4) == 1
+    copies = frame.where("vid between 900 and 929 or vid = 17 or vid = 3 or vid = 930")
+    ids = {r["id"] for r in vr.choose(copies, "vid", "emb", "lab", 20, DIM).collect()}
+    assert len(ids) == 20 and not any(i % 5 == 0 for i in ids)
+
+
 def test_ward_merges_nearest_first():
     n, c = np.array([1.0, 1, 1, 5]), np.array([[0.0, 0], [0, 0.1], [5, 5], [5, 5.2]])
     merges = vr.ward(n, c)
@@ -157,6 +184,7 @@ def small_cells(monkeypatch):
     """Some 250 cells of four rows, as many cells as large tables have."""
     plain = vx.pivots_by_hash
     monkeypatch.setattr(vx, "pivots_by_hash", lambda *a: plain(*a, per_cell=4))
+    monkeypatch.setattr(vx, "CELL_CLASSES", 4)
     monkeypatch.setattr(vx, "TILE_CLASSES", 200)
     monkeypatch.setattr(vx, "REGION_CLASSES", 50, raising=False)
 
