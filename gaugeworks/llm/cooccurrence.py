@@ -1,25 +1,29 @@
 """Items that appear together: blocked Gram matrix of binary baskets.
 
-Each basket becomes one row with the set of its items. A record block (one partition)
-splits the sets into item blocks, builds binary matrices and sums transpose-products per
-pair of item blocks; the partial sums of all record blocks are added by (item, item).
-Nothing is emitted per pair and record, and no pair of baskets is ever joined.
+Each basket becomes one row with the set of its items. A record block, some thousand rows,
+is a binary matrix: its frequent items are one dense item block, all others are sparse.
+Its transpose-product is summed with those of the blocks before, and the partial sums of
+all partitions are added by (item, item). Nothing leaves a worker per pair and record, and
+no pair of baskets is ever joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items in one block; a tile of two blocks holds at most the square of what falls in a block.
-BLOCK_ITEMS = 512
-#: Tiles held at a time in a Python worker before their sums are passed on.
-MAX_TILES = 24
+from gaugeworks.session import cut_lineage
+
+#: Items of the dense block of a record block at most, and the share of records (one in so many) that an item must be in.
+DENSE_ITEMS, DENSE_SHARE = 2_048, 64
 #: Cells (rows times columns) of a binary matrix that is multiplied at once.
 PRODUCT_CELLS = 4_000_000
+#: Entries of one record block, unless a single record has more.
+BLOCK_ENTRIES = 500_000
+#: Pairs of entries formed at once, and sums held in a worker before they are passed on.
+CHUNK_PAIRS, MAX_SUMS = 2_000_000, 4_000_000
 
 
 def baskets(df: DataFrame, basket: str, item: str) -> DataFrame:
@@ -32,105 +36,128 @@ def baskets(df: DataFrame, basket: str, item: str) -> DataFrame:
     return known.groupBy("basket").agg(F.collect_set("item").alias("items"))
 
 
-class _Tiles:
-    """Sums of transpose-products by pair of item blocks, over the item ids seen so far."""
+class _Gram:
+    """Sums of transpose-products of one record block after another, as sparse (a, b, n) with a <= b.
 
-    def __init__(self, blocks: int):
-        self.blocks, self.items, self.index, self.sums = blocks, {}, {}, {}
+    Items that many records of a block hold make one dense item block, multiplied at once.
+    All others stay sparse: their entries meet the entries of the same record only, so work
+    and memory follow the pairs that occur and not the number of items.
+    """
 
-    def columns(self, block: int, ids):
-        """Column numbers of the ids within their block; new ids get the next ones."""
-        import numpy as np
+    def __init__(self):
+        self.parts, self.held = [], 0
 
-        known = self.index.setdefault(block, {})
-        fresh = [i for i in np.unique(ids).tolist() if i not in known]
-        for i in fresh:
-            known[i] = len(known)
-        if fresh or block not in self.items:
-            order = np.array(sorted(known), dtype="int64")
-            self.items[block] = (order, np.array([known[i] for i in order.tolist()], dtype="int64"))
-        order, place = self.items[block]
-        return place[np.searchsorted(order, ids)]
-
-    def add(self, rows, ids, n_rows: int) -> Iterator[pd.DataFrame]:
-        """One batch: ``ids`` of the entries and the ``rows`` they are in, both by row; yields sums when too many tiles are open."""
+    def add(self, rows, ids, n_rows: int) -> Iterator:
+        """One block: ``ids`` of the entries and the ``rows`` they are in, by row; yields sums when too many are held."""
         import numpy as np
 
-        block_of = (ids % self.blocks).astype("int64")
-        parts = {b: (rows[block_of == b], self.columns(b, ids[block_of == b])) for b in np.unique(block_of).tolist()}
-        widest = max(len(self.index[b]) for b in parts)
-        step = max(64, PRODUCT_CELLS // max(1, widest))
-        for start in range(0, n_rows, step):
-            stop, dense = min(n_rows, start + step), {}
-            for b, (r, c) in parts.items():
-                lo, hi = np.searchsorted(r, [start, stop])
-                if hi > lo:
-                    m = np.zeros((stop - start, len(self.index[b])), dtype="float32")
-                    m[r[lo:hi] - start, c[lo:hi]] = 1
-                    dense[b] = m
-            for i in sorted(dense):
-                for j in sorted(dense):
-                    if i <= j:
-                        self._sum(i, j, dense[i].T @ dense[j])
-                        if len(self.sums) > MAX_TILES:
-                            yield self.drain()
-
-    def _sum(self, i: int, j: int, product) -> None:
+        items, column, often = np.unique(ids, return_inverse=True, return_counts=True)
+        dense = np.zeros(len(items), dtype=bool)
+        dense[np.argsort(-often, kind="stable")[:DENSE_ITEMS]] = True
+        dense &= (often * DENSE_SHARE >= n_rows) | (len(items) <= DENSE_ITEMS // 8)
+        place = np.cumsum(dense) - 1
+        in_dense = dense[column]
+        r, c = rows[in_dense], place[column[in_dense]]
+        self._multiply(r, c, items[dense], n_rows)
+        yield from self._drain_if_full()
+        if in_dense.all():
+            return
+        # sparse entries with the sparse ones after them in their record, and with all dense ones of it
+        sr, si, di = rows[~in_dense], ids[~in_dense], items[dense][c]
+        at = np.arange(len(sr))
+        for start, stop, other in ((at, np.searchsorted(sr, sr, side="right"), si), (np.searchsorted(r, sr), np.searchsorted(r, sr, side="right"), di)):
+            length = stop - start
+            ends = np.cumsum(length)
+            cuts = [0, *np.unique(np.searchsorted(ends, np.arange(CHUNK_PAIRS, ends[-1], CHUNK_PAIRS), side="right")), len(sr)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                n = length[lo:hi]
+                right = np.repeat(start[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                a, b = np.repeat(si[lo:hi], n), other[right]
+                self._put(np.minimum(a, b), np.maximum(a, b), np.ones(len(a), dtype="int64"))
+                yield from self._drain_if_full()
+
+    def _multiply(self, r, c, items, n_rows: int) -> None:
         import numpy as np
 
-        old = self.sums.get((i, j))
-        if old is not None and old.shape != product.shape:
-            wide = np.zeros(np.maximum(old.shape, product.shape), dtype="int64")
-            wide[: old.shape[0], : old.shape[1]] = old
-            old = wide
-        if old is None:
-            old = np.zeros(product.shape, dtype="int64")
-        old[: product.shape[0], : product.shape[1]] += np.rint(product).astype("int64")
-        self.sums[i, j] = old
-
-    def drain(self) -> pd.DataFrame:
+        step = max(64, PRODUCT_CELLS // max(1, len(items)))
+        sums = np.zeros((len(items), len(items)), dtype="int64") if len(items) else None
+        for start in range(0, n_rows if len(items) else 0, step):
+            lo, hi = np.searchsorted(r, [start, start + step])
+            if hi > lo:
+                m = np.zeros((min(step, n_rows - start), len(items)), dtype="float32")
+                m[r[lo:hi] - start, c[lo:hi]] = 1
+                sums += np.rint(m.T @ m).astype("int64")
+        if sums is not None:
+            # items ascend, so the upper triangle has a <= b
+            a, b = np.nonzero(np.triu(sums))
+            self._put(items[a], items[b], sums[a, b])
+
+    def _put(self, a, b, n) -> None:
+        if len(a):
+            self.parts.append(_added(a, b, n))
+            self.held += len(self.parts[-1][0])
+
+    def _drain_if_full(self) -> Iterator:
+        if self.held > MAX_SUMS:
+            self.parts = [_added(*map(_joined, zip(*self.parts)))]
+            self.held = len(self.parts[0][0])
+            if self.held > MAX_SUMS // 2:
+                yield self.drain()
+
+    def drain(self):
         import numpy as np
+        import pyarrow as pa
 
-        found = {"item_a": [], "item_b": [], "n": []}
-        ids = {b: np.array(sorted(known, key=known.get), dtype="int64") for b, known in self.index.items()}
-        for (i, j), sums in self.sums.items():
-            a, b = np.nonzero(sums)
-            n, x, y = sums[a, b], ids[i][a], ids[j][b]
-            keep = x <= y if i == j else np.ones(len(x), dtype=bool)
-            found["item_a"].append(np.minimum(x, y)[keep])
-            found["item_b"].append(np.maximum(x, y)[keep])
-            found["n"].append(n[keep])
-        self.sums.clear()
-        return pd.DataFrame({k: np.concatenate(v) if v else np.empty(0, "int64") for k, v in found.items()})
+        none = np.empty(0, dtype="int64")
+        a, b, n = _added(*map(_joined, zip(*self.parts))) if self.parts else (none, none, none)
+        self.parts, self.held = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["item_a", "item_b", "n"])
 
 
-def pair_counts(sets: DataFrame, n_items: int) -> DataFrame:
-    """(item_a, item_b, n) with item_a <= item_b: baskets with both; equal items give the item's own count.
+def _joined(arrays):
+    import numpy as np
 
-    ``n_items`` is the number of distinct items, known or estimated; it only sets the
-    number of item blocks.
-    """
-    blocks = max(1, -(-n_items // BLOCK_ITEMS))
+    return np.concatenate(arrays)
+
+
+def _added(a, b, n):
+    """Sums of n by (a, b), sorted."""
+    import numpy as np
+
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, dtype="int64")
+    return a[at], b[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def pair_counts(sets: DataFrame) -> DataFrame:
+    """(item_a, item_b, n) with item_a <= item_b: baskets with both; equal items give the item's own count."""
 
-    def partial(batches: Iterator) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        tiles = _Tiles(blocks)
+        gram = _Gram()
         for batch in batches:
             lists = batch.column(0)
             lists = lists if isinstance(lists, pa.ListArray) else lists.combine_chunks()
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
             ids = lists.flatten().to_numpy(zero_copy_only=False).astype("int64")
-            if len(ids):
-                lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-                for sums in tiles.add(np.repeat(np.arange(len(lengths)), lengths), ids, len(lengths)):
-                    yield pa.RecordBatch.from_pandas(sums, preserve_index=False)
-        yield pa.RecordBatch.from_pandas(tiles.drain(), preserve_index=False)
+            # records in blocks of a bounded number of entries
+            ends = np.cumsum(lengths)
+            lo = 0
+            while lo < len(lengths):
+                before = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + BLOCK_ENTRIES, side="right")))
+                if ends[hi - 1] > before:
+                    yield from gram.add(np.repeat(np.arange(hi - lo), lengths[lo:hi]), ids[before : ends[hi - 1]], hi - lo)
+                lo = hi
+        yield gram.drain()
 
     return sets.select("items").mapInArrow(partial, "item_a long, item_b long, n long").groupBy("item_a", "item_b").agg(F.sum("n").alias("n"))
 
 
-def cooccurrence(df: DataFrame, basket: str, item: str, n_items: int | None = None, keep: DataFrame | None = None) -> DataFrame:
+def cooccurrence(df: DataFrame, basket: str, item: str, keep: DataFrame | None = None) -> DataFrame:
     """Pairs of items with how often they share a basket and how far that exceeds chance.
 
     Returns (item_a, item_b, n_ab, n_a, n_b, n_baskets, expected, lift, pmi), item_a < item_b,
@@ -139,14 +166,13 @@ def cooccurrence(df: DataFrame, basket: str, item: str, n_items: int | None = No
     baskets and items are ignored; an empty table gives no rows. ``keep`` (column
     ``basket``) restricts the baskets. Items are integers.
     """
-    if n_items is None:
-        n_items = df.agg(F.approx_count_distinct(item)).first()[0]
     sets = baskets(df, basket, item)
     if keep is not None:
         sets = sets.join(keep.select("basket").distinct(), "basket", "left_semi")
     # every basket also holds a mark, whose own count is the number of baskets
     mark = -(2**63)
-    counts = pair_counts(sets.select(F.array_append("items", F.lit(mark).cast("long")).alias("items")), n_items + 1)
+    # written once, as pairs, their items' own counts and the number of baskets are all read from it
+    counts = cut_lineage(pair_counts(sets.select(F.array_append("items", F.lit(mark).cast("long")).alias("items"))))
     own = counts.where((F.col("item_a") == mark) & (F.col("item_b") != mark)).select(F.col("item_b").alias("_item"), F.col("n").alias("_n"))
     whole = counts.where((F.col("item_a") == mark) & (F.col("item_b") == mark)).select(F.col("n").alias("n_baskets"))
     pairs = counts.where((F.col("item_a") != mark) & (F.col("item_a") < F.col("item_b"))).withColumnRenamed("n", "n_ab")

@@ -32,7 +32,7 @@ def _cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
     categories = table(spark, folder, "categories").select(F.col("id").alias("category_id")).distinct()
     annotations = table(spark, folder, "annotations").join(categories, "category_id", "left_semi")
     images = table(spark, folder, "images").select(F.col("id").alias("basket"))
-    return co.cooccurrence(annotations, "image_id", "category_id", n_items=categories.count(), keep=images)
+    return co.cooccurrence(annotations, "image_id", "category_id", keep=images)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
