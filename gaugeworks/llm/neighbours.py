@@ -52,8 +52,9 @@ def mutual_neighbours(df: DataFrame, ident: str, vector: str, k: int, min_simila
     either looks into the other's cell. An empty table gives no rows.
     """
     spark = df.sparkSession
-    pivots = vx.pivots_by_hash(df, ident, vector, dim, df.count())
-    classes = cut_lineage(vx.lowest_members(vx.code(df, ident, vector, dim, pivots, probes), k + 1))
+    n = df.count()
+    pivots = vx.pivots_by_hash(df, ident, vector, dim, n)
+    classes = cut_lineage(vx.lowest_members(vx.code(df, ident, vector, dim, pivots, probes, parts=vx.directions(pivots, n)), k + 1))
     directed = _near(k, min_similarity, dim, vx.tiles(classes, None))
     pairs = cut_lineage(directed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rows = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))

@@ -22,6 +22,8 @@ from gaugeworks.session import cut_lineage
 CELL_CLASSES = 256
 #: Pivots are sent to all tasks: at most this many, so 4 MB at 64 values.
 MAX_PIVOTS = 16_384
+#: Beyond that every pivot's cell is divided by the direction in which a vector lies from the pivot: at most this many.
+MAX_DIRECTIONS = 256
 #: Classes on either side of one tile; larger cells are cut into several tiles.
 TILE_CLASSES = 8_192
 #: Rows of a tile multiplied at once.
@@ -162,13 +164,43 @@ def pivots_by_hash(df: DataFrame, ident: str, vector: str, dim: int, n_rows: int
     return normalised(matrix / np.abs(matrix).max(axis=1)[:, None]) if len(matrix) else matrix
 
 
-def code(df: DataFrame, ident: str, vector: str, dim: int, pivots, probes: int, keep: Sequence[str] = (), core: tuple[int, float] | None = None) -> DataFrame:
+def directions(pivots, n_rows: int, per_cell: int | None = None):
+    """(unit vectors, step) that divide the cells of all pivots alike, so that a cell has about ``per_cell`` rows; None if cells are small enough.
+
+    They are the directions in which some pivots lie from their nearest other pivot, and
+    step is how far they lie on average. pivot + step * direction is the centre of a part.
+    """
+    import numpy as np
+
+    wanted = min(MAX_DIRECTIONS, len(pivots) - 1, -(-n_rows // ((per_cell or CELL_CLASSES) * max(1, len(pivots)))))
+    if wanted < 2:
+        return None
+    some = pivots[:wanted]
+    cosine = some @ pivots.T
+    cosine[np.arange(wanted), np.arange(wanted)] = -2
+    near = cosine.argmax(axis=1)
+    rest = some - cosine[np.arange(wanted), near][:, None] * pivots[near]
+    size = np.sqrt((rest**2).sum(axis=1))
+    apart = size > 1e-6
+    if apart.sum() < 2:
+        return None
+    return rest[apart] / size[apart][:, None], float(np.median(size[apart] / np.maximum(cosine[np.arange(wanted), near][apart], 0.1)))
+
+
+def code(df: DataFrame, ident: str, vector: str, dim: int, pivots, probes: int, keep: Sequence[str] = (), core: tuple[int, float] | None = None, parts=None) -> DataFrame:
     """(c, id, payload, cells, core, keep...) of the usable rows; c is equal for equal vectors, cells are the ``probes`` nearest pivots, nearest first.
 
-    ``core`` = (m, s) marks rows whose cosine with the nearest of the first m pivots is at
-    least s by that pivot's number; other rows have -1.
+    With ``parts`` from ``directions`` cells are parts of those pivots' cells, those with
+    the nearest centres. ``core`` = (m, s) marks rows whose cosine with the nearest of the
+    first m pivots is at least s by that pivot's number; other rows have -1.
     """
+    import numpy as np
+
     held = df.sparkSession.sparkContext.broadcast(pivots.astype("float32"))
+    if parts is not None:
+        turned, step = parts[0].astype("float32"), np.float32(parts[1])
+        lengths = np.sqrt(1 + step**2 + 2 * step * (pivots.astype("float32") @ turned.T))
+        fine = df.sparkSession.sparkContext.broadcast((turned, step, lengths))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -187,7 +219,15 @@ def code(df: DataFrame, ident: str, vector: str, dim: int, pivots, probes: int,
             for s in range(0, len(rows) if len(pivot) else 0, STRIP):
                 near = unit[s : s + STRIP].astype("float32") @ pivot.T
                 some = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(pivot) else np.tile(np.arange(len(pivot)), (len(near), 1))
-                best[s : s + STRIP] = np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, axis=1), axis=1, kind="stable"), axis=1)
+                some = np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, axis=1), axis=1, kind="stable"), axis=1)
+                if parts is not None:
+                    turned, step, lengths = fine.value
+                    own = unit[s : s + STRIP].astype("float32") @ turned.T
+                    cosine = ((np.take_along_axis(near, some, axis=1)[:, :, None] + step * own[:, None, :]) / lengths[some]).reshape(len(near), -1)
+                    first = np.argpartition(-cosine, m - 1, axis=1)[:, :m]
+                    first = np.take_along_axis(first, np.argsort(-np.take_along_axis(cosine, first, axis=1), axis=1, kind="stable"), axis=1)
+                    some = np.take_along_axis(some, first // own.shape[1], axis=1) * own.shape[1] + first % own.shape[1]
+                best[s : s + STRIP] = some
                 if core and core[0]:
                     first = near[:, : core[0]].argmax(axis=1)
                     inside[s : s + STRIP] = np.where(near[np.arange(len(near)), first] >= core[1], first, -1)

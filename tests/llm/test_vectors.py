@@ -79,6 +79,25 @@ def test_mutual_neighbours(frame, points, monkeypatch, cut):
     assert crowd and all(a in (17, *range(900, 906)) and b in range(900, 906) for a, b in crowd)
 
 
+@pytest.mark.parametrize("pivots", [2, 6])
+def test_parts_of_cells_keep_neighbours_together(frame, points, monkeypatch, pivots):
+    monkeypatch.setattr(vx, "CELL_CLASSES", 32)
+    monkeypatch.setattr(vx, "MAX_PIVOTS", pivots)
+    s = np.round(similarities(points), 9)
+    top = [set(np.lexsort((np.arange(len(s)), -s[i]))[:5].tolist()) for i in range(len(s))]
+    want = {(i, j) for i in range(len(s)) for j in top[i] if i < j and i in top[j] and s[i, j] >= 0.9 and i < 480}
+    got = {(r["a"], r["b"]) for r in nb.mutual_neighbours(frame, "vid", "emb", 5, 0.9, DIM).collect()}
+    assert len(want - got) <= 0.1 * len(want)
+
+
+def test_directions():
+    rng = np.random.default_rng(2)
+    p = unit(rng.normal(size=(50, DIM)))
+    turned, step = vx.directions(p, 50 * 4 * vx.CELL_CLASSES)
+    assert len(turned) == 4 and np.allclose((turned**2).sum(axis=1), 1) and step > 0
+    assert vx.directions(p, 50 * vx.CELL_CLASSES) is None and vx.directions(np.repeat(p[:1], 9, axis=0), 10**6) is None and vx.directions(p[:0], 10**6) is None
+
+
 def test_search_recall(frame, points):
     s = similarities(points)
     rows = nb.nearest(frame, "vid", "emb", 5, F.col("vid") % 10 == 0, DIM, probes=48).collect()
