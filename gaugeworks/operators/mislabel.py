@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeworks.functions.plans import broadcast_if_small
-from gaugeworks.operators.neighbors import exact_neighbours
+from gaugeworks.operators.neighbors import exact_neighbours, usable_rows, vector_size
 
 
 def knn_quality(neighbours: DataFrame) -> DataFrame:
@@ -90,9 +90,9 @@ class MislabelDetector:
     SCORES = ("combined", "knn", "prototype")
 
     def __init__(self, df: DataFrame, n_neighbors: int = 10, metric: str = "cosine"):
-        first = df.select(F.size("embedding")).first()
-        self.rows, self.dim = df, first[0] if first else 0
-        self.neighbours = exact_neighbours(df, n_neighbors, metric).persist()
+        self.dim = vector_size(df)
+        self.rows = usable_rows(df.select("id", "label", "embedding"), self.dim)
+        self.neighbours = exact_neighbours(df, n_neighbors, metric, self.dim).persist()
 
     @classmethod
     def from_probabilities(cls, df: DataFrame, n_neighbors: int = 10) -> MislabelDetector:
