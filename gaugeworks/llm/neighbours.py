@@ -1,19 +1,20 @@
 """Most similar vectors for every vector: block matrix join.
 
-See ``vectors`` for coding, cells and tiles. Every row is indexed. ``nearest`` loses
-nothing: a class looks wherever the bound on its k-th cosine leaves room. In
-``mutual_neighbours`` a class is compared with all classes of the cells it looks into, so
-what is lost is lost by a neighbour lying in a cell too far away. README states the recall
-measured against brute force.
+See ``operators.vector_blocks`` for coding, cells and tiles. Every row is indexed.
+``nearest`` loses nothing: a class looks wherever the bound on its k-th cosine leaves room.
+In ``mutual_neighbours`` a class is compared with all classes of the cells it looks into,
+so what is lost is lost by a neighbour lying in a cell too far away. README states the
+recall measured against brute force.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gaugeworks.llm import vectors as vx
+from gaugeworks.operators import vector_blocks as vx
+from gaugeworks.operators.neighbors import best, spread
+from gaugeworks.operators.neighbors import nearest as search
 from gaugeworks.session import cut_lineage
 
 PAIR = "a long, b long"
@@ -29,20 +30,6 @@ def _near(k: int, floor: float, dim: int, tiled: DataFrame) -> DataFrame:
     return vx.in_tiles(tiled, work, PAIR, dim)
 
 
-def _best(directed: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return directed.where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.max("cosine").alias("cosine")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _spread(edges: DataFrame, classes: DataFrame, both: bool) -> DataFrame:
-    """Replaces the representative b (and a, if ``both``) of edges by the listed members of its class."""
-    crowded = classes.where(F.size("members") > 1).select("rep", "members")
-    for side in ("a", "b") if both else ("b",):
-        named = crowded.select(F.col("rep").alias(side), "members")
-        edges = edges.join(named, side, "left").withColumn(side, F.explode(F.coalesce("members", F.array(side)))).drop("members")
-    return edges.select("a", "b", "cosine")
-
-
 def mutual_neighbours(df: DataFrame, ident: str, vector: str, k: int, min_similarity: float, dim: int = 64, probes: int = 5) -> DataFrame:
     """(a, b, cosine) with a < b: each is among the k most similar others of the other, cosine at least ``min_similarity``.
 
@@ -61,7 +48,8 @@ def mutual_neighbours(df: DataFrame, ident: str, vector: str, k: int, min_simila
     edges = vx.exact_cosines(pairs, rows, dim).where(F.col("cosine") >= min_similarity)
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     own = classes.where(F.size("members") > 1).select(F.explode("members").alias("a"), "members").select("a", F.explode("members").alias("b"), F.lit(1.0).alias("cosine"))
-    top = _best(_spread(both, classes, both=True).unionByName(own), k)
+    every = spread(both, classes, both=True).unionByName(own)
+    top = best(every.where(F.col("a") != F.col("b")), k)
     mutual = top.groupBy(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).agg(F.count(F.lit(1)).alias("n"), F.max("cosine").alias("cosine"))
     return mutual.where(F.col("n") == 2).select(F.col("_a").alias("a"), F.col("_b").alias("b"), "cosine")
 
@@ -70,39 +58,10 @@ def nearest(df: DataFrame, ident: str, vector: str, k: int, queries=None, dim: i
     """(a, b, rank, cosine): the k most similar others b of every query a.
 
     ``queries`` is a condition on rows of ``df``; None takes every row. All usable rows are
-    searched. Ties are ordered by id; copies of a query's own vector come first with cosine
-    1. Fewer than k rows come out only where there are fewer others. The k-th cosine found
-    in the ``probes`` nearest cells bounds the angle within which all others are then
-    looked at; where vectors are spread wide, that is most of the table for each query.
+    searched; see ``operators.neighbors.nearest``.
     """
-    pivots = vx.pivots_by_hash(df, ident, vector, dim, df.count())
-    classes = cut_lineage(vx.lowest_members(vx.code(df, ident, vector, dim, pivots, 1), k + 1))
-    asked = cut_lineage(vx.code(df if queries is None else df.where(queries), ident, vector, dim, pivots, probes))
-    looking = asked.groupBy("c").agg(F.first("payload").alias("payload"), F.first("cells").alias("cells")).join(classes.select("c", "rep"), "c")
-
-    def sure(x: vx.Block, y: vx.Block) -> dict:
-        i, _, sims, bound = vx.tile_pairs(x, y, None, k)
-        return {"a": x.ids[i], "least": sims - bound}
-
-    def rest(x: vx.Block, y: vx.Block) -> dict:
-        i, j, _, _ = vx.tile_pairs(x, y, x.least, k)
-        return {"a": x.ids[i], "b": y.ids[j]}
-
-    first = vx.in_tiles(vx.tiles(classes, looking), sure, "a long, least double", dim)
-    kth = first.groupBy("a").agg(F.get(F.sort_array(F.collect_list("least"), asc=False), F.lit(k - 1)).alias("least"))
-    looking = looking.join(kth.withColumnRenamed("a", "rep"), "rep", "left").withColumn("least", F.greatest(F.coalesce("least", F.lit(-1.0)), F.lit(-1.0)))
-    looking = cut_lineage(looking.select("rep", "payload", "least", F.acos(F.least("least", F.lit(1.0))).alias("reach")))
-    base, looking = vx.within_bounds(classes.select("rep", "payload", "cells"), looking, pivots, dim)
-    directed = vx.in_tiles(vx.tiles(base.withColumn("least", F.lit(-1.0)), looking, ["least"]), rest, PAIR, dim, ["least"])
-    pairs = cut_lineage(directed.distinct())
-    rows = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    # the best k classes of each looking class hold its best k others
-    edges = _best(vx.exact_cosines(pairs, rows, dim), k).select("a", "b", "cosine")
-    spread = _spread(edges, classes, both=False)
-    own = classes.where(F.size("members") > 1).select(F.col("rep").alias("a"), F.explode("members").alias("b"), F.lit(1.0).alias("cosine"))
-    ids = asked.select("c", "id").distinct().join(classes.select("c", F.col("rep").alias("a")), "c").select("a", "id")
-    found = spread.unionByName(own).join(ids, "a").select(F.col("id").alias("a"), "b", "cosine")
-    return _best(found, k).select("a", "b", "rank", "cosine")
+    base, asked = (rows.select(F.col(ident).alias("id"), F.col(vector).alias("v")) for rows in (df, df if queries is None else df.where(queries)))
+    return search(base, asked, k, dim, probes)
 
 
 def label_agreement(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
