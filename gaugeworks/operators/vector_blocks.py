@@ -1,7 +1,7 @@
 """Vectors in blocks: coding, cells, and products of tiles with error bounds.
 
 A usable vector has the expected number of finite values that are not all zero. It is
-scaled to length one and coded as 16-bit integers, whose upper bytes are the int8 code.
+scaled to length one and coded as 8-bit integers, or as 16-bit ones whose upper bytes are the int8 code.
 The coding errors' lengths are known, so a product of codes bounds the cosine. Equal
 vectors form a class with one code. Classes fall into cells around pivot vectors; a tile
 holds the classes of a cell and those classes of other cells that look into it.
@@ -74,12 +74,13 @@ def class_keys(unit):
     return (both * np.uint64(0x9E3779B97F4A7C15)).view("uint8").reshape(len(unit), KEY_BYTES)
 
 
-def encode(unit):
-    """Payload bytes of each row: scale and error length (float32), int16 codes."""
+def encode(unit, wide: bool = True):
+    """Payload bytes of each row: scale and error length (float32), codes of 16 bits, or 8 if not ``wide``."""
     import numpy as np
 
-    scale = (np.abs(unit).max(axis=1) / 32767).astype("float32")
-    codes = np.rint(unit / scale[:, None]).clip(-32767, 32767).astype("int16")
+    largest = 32767 if wide else 127
+    scale = (np.abs(unit).max(axis=1) / largest).astype("float32")
+    codes = np.rint(unit / scale[:, None]).clip(-largest, largest).astype("int16" if wide else "int8")
     error = np.sqrt(((unit - codes * scale[:, None].astype("float64")) ** 2).sum(axis=1)) * 1.0001 + 1e-7
     head = np.stack([scale, error.astype("float32")], axis=1)
     return np.concatenate([head.view("uint8").reshape(len(unit), HEAD_BYTES), codes.view("uint8").reshape(len(unit), -1)], axis=1)
@@ -91,12 +92,16 @@ class Block:
     def __init__(self, ids, payload, dim: int):
         import numpy as np
 
-        raw = np.frombuffer(b"".join(payload), dtype="uint8").reshape(len(payload), HEAD_BYTES + 2 * dim)
+        wide = bool(payload) and len(payload[0]) > HEAD_BYTES + dim
+        raw = np.frombuffer(b"".join(payload), dtype="uint8").reshape(len(payload), HEAD_BYTES + dim * (1 + wide))
         self.ids = ids
         head = np.ascontiguousarray(raw[:, :HEAD_BYTES]).view("float32").astype("float64")
         self.scale, self.error = head[:, 0], head[:, 1]
-        self.codes = np.ascontiguousarray(raw[:, HEAD_BYTES:]).view("int16")
+        self.codes = np.ascontiguousarray(raw[:, HEAD_BYTES:]).view("int16" if wide else "int8")
         # int8 products of up to 1024 values stay exact in float32
+        if not wide:
+            self.high, self.step, self.high_error = self.codes.astype("float32"), self.scale, self.error
+            return
         high = np.rint(self.codes / 256.0).clip(-127, 127)
         self.high, self.step = high.astype("float32"), self.scale * 256
         rest = (self.codes - high * 256.0) * self.scale[:, None]
@@ -174,7 +179,7 @@ def directions(pivots, n_rows: int, per_cell: int | None = None):
     """
     import numpy as np
 
-    wanted = min(MAX_DIRECTIONS, len(pivots) - 1, -(-n_rows // ((per_cell or CELL_CLASSES) * max(1, len(pivots)))))
+    wanted = min(MAX_DIRECTIONS, len(pivots) - 1, n_rows // ((per_cell or CELL_CLASSES) * max(1, len(pivots))))
     if wanted < 2:
         return None
     some = pivots[:wanted]
@@ -189,12 +194,12 @@ def directions(pivots, n_rows: int, per_cell: int | None = None):
     return rest[apart] / size[apart][:, None], float(np.median(size[apart] / np.maximum(cosine[np.arange(wanted), near][apart], 0.1)))
 
 
-def code(df: DataFrame, ident: str, vector: str, dim: int, pivots, probes: int, keep: Sequence[str] = (), core: tuple[int, float] | None = None, parts=None) -> DataFrame:
+def code(df: DataFrame, ident: str, vector: str, dim: int, pivots, probes: int, keep: Sequence[str] = (), core: tuple[int, float] | None = None, parts=None, wide: bool = True) -> DataFrame:
     """(c, id, payload, cells, core, keep...) of the usable rows; c is equal for equal vectors, cells are the ``probes`` nearest pivots, nearest first.
 
     With ``parts`` from ``directions`` cells are parts of those pivots' cells, those with
     the nearest centres. ``core`` = (m, s) marks rows whose cosine with the nearest of the
-    first m pivots is at least s by that pivot's number; other rows have -1.
+    first m pivots is at least s by that pivot's number; other rows have -1. ``wide`` codes have 16 bits.
     """
     import numpy as np
 
@@ -215,7 +220,7 @@ def code(df: DataFrame, ident: str, vector: str, dim: int, pivots, probes: int,
             if not len(rows):
                 continue
             unit = normalised(flat)
-            payload = encode(unit)
+            payload = encode(unit, wide)
             best, inside = np.zeros((len(rows), m), dtype="int32"), np.full(len(rows), -1, dtype="int32")
             # a strip at a time, as all rows by all pivots would not fit
             for s in range(0, len(rows) if len(pivot) else 0, STRIP):

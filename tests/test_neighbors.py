@@ -80,3 +80,25 @@ def test_sizes_and_no_rows(spark, frame):
     assert nn.exact_neighbours(none, 3).count() == 0 and dv.min_distance(frame, none).count() == 0 and dv.min_distance(none, frame, DIM).count() == 0
     rows = frame.selectExpr("id", "embedding as v")
     assert nn.nearest(rows.where("false"), rows, 2, DIM).count() == 0
+
+
+@pytest.mark.parametrize("wide, width", [(True, 1e-3), (False, 0.05)])
+def test_codes_bound_cosines(points, wide, width):
+    u = points.astype("float64")
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    b = vx.Block(np.arange(len(u)), [p.tobytes() for p in vx.encode(u, wide)], DIM)
+    s = cosines(points)
+    np.fill_diagonal(s, -1)
+    i, j, sims, bound = vx.tile_pairs(b, b, 0.7, None)
+    assert (np.abs(sims - s[i, j]) <= bound).all() and bound.max() < width
+    assert set(zip(*np.nonzero(s >= 0.7))) <= set(zip(i.tolist(), j.tolist()))
+    i, j, _, _ = vx.tile_pairs(b, b, None, 4)
+    for a in range(len(u)):
+        assert set(np.flatnonzero(s[a] > np.sort(s[a])[-4] + 1e-9)) <= set(j[i == a].tolist())
+
+
+def test_cells_are_divided_only_beyond_the_pivots(points):
+    u = points.astype("float64") / np.linalg.norm(points, axis=1)[:, None]
+    assert vx.directions(u[:30], 30 * 2 * vx.CELL_CLASSES - 1) is None
+    turned, step = vx.directions(u[:30], 30 * 5 * vx.CELL_CLASSES)
+    assert turned.shape == (5, DIM) and np.allclose((turned**2).sum(axis=1), 1) and step > 0
