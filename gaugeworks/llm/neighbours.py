@@ -30,7 +30,7 @@ def _near(k: int, floor: float, dim: int, tiled: DataFrame) -> DataFrame:
     return vx.in_tiles(tiled, work, PAIR, dim)
 
 
-def mutual_neighbours(df: DataFrame, ident: str, vector: str, k: int, min_similarity: float, dim: int = 64, probes: int = 5) -> DataFrame:
+def mutual_neighbours(df: DataFrame, ident: str, vector: str, k: int, min_similarity: float, dim: int = 64, probes: int = 10) -> DataFrame:
     """(a, b, cosine) with a < b: each is among the k most similar others of the other, cosine at least ``min_similarity``.
 
     Unusable vectors and null ids are left out. Equal cosines are ordered by id. Rows that
@@ -41,7 +41,7 @@ def mutual_neighbours(df: DataFrame, ident: str, vector: str, k: int, min_simila
     spark = df.sparkSession
     n = df.count()
     pivots = vx.pivots_by_hash(df, ident, vector, dim, n)
-    classes = cut_lineage(vx.lowest_members(vx.code(df, ident, vector, dim, pivots, probes, parts=vx.directions(pivots, n)), k + 1))
+    classes = cut_lineage(vx.lowest_members(vx.code(df, ident, vector, dim, pivots, probes, parts=vx.directions(pivots, n), wide=False), k + 1))
     directed = _near(k, min_similarity, dim, vx.tiles(classes, None))
     pairs = cut_lineage(directed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rows = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
