@@ -66,11 +66,10 @@ def confident_joint(df: DataFrame, n_classes: int) -> DataFrame:
     limits = class_thresholds(df, n_classes).agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "threshold"))), lambda r: r.threshold).alias("_t"))
     hits = df.crossJoin(F.broadcast(limits)).select("label", F.posexplode(F.zip_with("probs", "_t", lambda p, t: p >= t)).alias("likely", "_hit")).where("_hit")  # one row
     found = hits.groupBy(F.col("label").cast("int").alias("given"), "likely").agg(F.count(F.lit(1)).alias("n"))
+    found = found.crossJoin(F.broadcast(found.agg(F.sum("n").alias("_all"))))  # one row
+    found = found.select("given", "likely", "n", (F.col("n") / F.col("_all")).alias("share"))
     cells = df.sparkSession.range(n_classes * n_classes).select(F.floor(F.col("id") / n_classes).cast("int").alias("given"), (F.col("id") % n_classes).cast("int").alias("likely"))
-    from gaugeworks.operators.stats import whole
-
-    dense = cells.join(found, ["given", "likely"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return dense.withColumn("share", F.col("n") / F.greatest(F.sum("n").over(whole()), F.lit(1)))
+    return cells.join(found, ["given", "likely"], "left").select("given", "likely", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def quality_summary(df: DataFrame, n_classes: int, method: str = "self_confidence") -> DataFrame:

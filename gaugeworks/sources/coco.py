@@ -7,8 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from gaugeworks.session import cut_lineage
+
 SCHEMA = """
 images array<struct<id:bigint,file_name:string,width:bigint,height:bigint>>,
 categories array<struct<id:bigint,name:string,supercategory:string>>,
@@ -107,20 +110,32 @@ def _last(df: DataFrame, key: str) -> DataFrame:
 def read_coco(spark: SparkSession, path: str, image_root: str | None = None) -> Dataset:
     """Reads one annotation document; of several images or categories with one id the last counts.
 
+    The document is parsed once, by one task; its rows are then written and spread.
+
     Raises when the file is missing or is no JSON document.
     """
     raw = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    raw.select(F.size("images")).collect()
+    rows = cut_lineage(raw.select(F.explode(F.concat(*[_tagged(name) for name in _PARTS])).alias("_r")).select("_r.*").repartition(spark.sparkContext.defaultParallelism))
 
-    def part(name: str) -> DataFrame:
-        return raw.select(F.posexplode(name).alias("ord", "_r")).select("_r.*", F.col("ord").cast("long").alias("ord"))
+    def part(name: str, key: str) -> DataFrame:
+        return rows.where(F.col("part") == name).select(F.col("id").alias(key), *_PARTS[name], "ord")
 
-    return Dataset(
-        _last(part("images").withColumnRenamed("id", "image_id"), "image_id"),
-        _last(part("categories").withColumnRenamed("id", "category_id"), "category_id"),
-        part("annotations").withColumnRenamed("id", "ann_id"),
-        image_root,
-    )
+    return Dataset(_last(part("images", "image_id"), "image_id"), _last(part("categories", "category_id"), "category_id"), part("annotations", "ann_id"), image_root)
+
+
+#: The fields of each part besides its id.
+_PARTS = {"images": ("file_name", "width", "height"), "categories": ("name", "supercategory"), "annotations": ("image_id", "category_id", "bbox", "area", "iscrowd")}
+
+
+def _tagged(name: str) -> Column:
+    """The elements of one part as structs that have the fields of all parts, so that one explode gives all rows."""
+    kinds = {f.name: {g.name: g.dataType for g in f.dataType.elementType.fields} for f in StructType.fromDDL(SCHEMA).fields}
+
+    def one(x: Column, i: Column) -> Column:
+        fields = [x[f].alias(f) if part == name else F.lit(None).cast(kinds[part][f]).alias(f) for part, names in _PARTS.items() for f in names]
+        return F.struct(F.lit(name).alias("part"), x["id"].alias("id"), i.cast("long").alias("ord"), *fields)
+
+    return F.coalesce(F.transform(name, one), F.array())
 
 
 def from_tables(images: DataFrame, categories: DataFrame, annotations: DataFrame) -> Dataset:
