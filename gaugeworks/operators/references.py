@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gaugeworks.session import cut_lineage
+
 #: Keys of one block fit in one task: at most this many distinct parents and references.
 BLOCK_BITS = 14
 #: A referenced key is hot when it holds at least this share of all references, so at most 1 / HOT_SHARE keys are.
@@ -75,16 +77,17 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     refs = refs.where(F.col("key").isNotNull()).select("ref_id", "ref_field", F.col("key").cast("long").alias("key"), "at")
     parents = parents.where(F.col("key").isNotNull()).select("ref_field", F.col("key").cast("long").alias("key"), "added_at", "deleted_at")
     lives = parents.groupBy("ref_field", "key").agg(F.collect_set(F.struct("added_at", "deleted_at")).alias("lives"))
-    used = refs.groupBy("ref_field", "key").agg(F.count(F.lit(1)).alias("n_refs"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("at").alias("n_at"))
+    # one row for each referenced key; written, as counts, runs and hot keys are all taken from it
+    used = cut_lineage(refs.groupBy("ref_field", "key").agg(F.count(F.lit(1)).alias("n_refs"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("at").alias("n_at")))
     matched = match_runs(used, key_runs(parents, by=["ref_field"]), by=["ref_field"])
     # a life that spans all references of a key settles them together
     settled = (F.col("n_at") == F.col("n_refs")) & _lives_at("first_at", "last_at")[0]
-    missing = matched.where(~F.col("exists")).select("ref_field", "key", "n_refs", F.lit(None).cast(lives.schema["lives"].dataType).alias("lives"))
-    doubtful = matched.where("exists").join(lives, ["ref_field", "key"]).where(~settled).select("ref_field", "key", "n_refs", "lives").unionByName(missing)
-    total = refs.agg(F.count(F.lit(1)).alias("_all"))
+    looked = matched.join(lives, ["ref_field", "key"], "left")
+    doubtful = looked.where(~F.col("exists") | ~settled).select("ref_field", "key", "n_refs", F.when(F.col("exists"), F.col("lives")).alias("lives"))
+    total = used.agg(F.sum("n_refs").alias("_all"))
     # at most 1 / HOT_SHARE keys can be hot, and the lives of a key are a few, so this side is bounded
     hot_at = F.col("n_refs") >= F.col("_all") * HOT_SHARE
-    doubtful = doubtful.crossJoin(F.broadcast(total)).withColumn("_hot", hot_at).drop("_all", "n_refs")
+    doubtful = cut_lineage(doubtful.crossJoin(F.broadcast(total)).withColumn("_hot", hot_at).drop("_all", "n_refs"))  # one row
     hot_keys = used.crossJoin(F.broadcast(total)).where(hot_at).select("ref_field", "key", F.lit(True).alias("_is_hot"))
     tagged = refs.join(F.broadcast(hot_keys), ["ref_field", "key"], "left")
     hot = tagged.where("_is_hot").drop("_is_hot").join(F.broadcast(doubtful.where("_hot").drop("_hot")), ["ref_field", "key"])
@@ -100,8 +103,12 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def annotation_references(annotations: DataFrame, images: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """References (ref_id, ref_field, key, at) of distinct annotations, and their parents."""
+    """References (ref_id, ref_field, key, at) of distinct annotations, and their parents.
+
+    The distinct annotations are written once, as references are counted and then looked up.
+    """
     one = annotations.where(F.col("id").isNotNull()).groupBy("id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("image_id", "category_id", "created_at")])
+    one = cut_lineage(one)
     refs = one.select(F.col("id").alias("ref_id"), F.col("created_at").alias("at"), F.explode(F.create_map(F.lit("image_id"), F.col("image_id"), F.lit("category_id"), F.col("category_id"))).alias("ref_field", "key"))
     sides = [t.select(F.lit(f).alias("ref_field"), F.col("id").alias("key"), "added_at", "deleted_at") for f, t in (("image_id", images), ("category_id", categories))]
     return refs.select("ref_id", "ref_field", "key", "at"), sides[0].unionByName(sides[1])
