@@ -15,6 +15,7 @@ from gaugeworks.llm import sampling as sp
 from gaugeworks.llm import varied as vr
 from gaugeworks.llm.tokens import byte_tokens
 from gaugeworks.operators.hot_keys import compress_values, weighted_percentiles
+from gaugeworks.session import cut_lineage
 from gaugeworks.sources.tables import table
 
 SEED = 42
@@ -145,6 +146,7 @@ def p4_merged(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sample(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = _distinct(table(spark, folder, "annotations").select("id", "category_id"), "category_id").select("id", F.col("category_id").alias("category"))
+    rows = cut_lineage(rows)  # counted for the plan, then drawn from
     targets = table(spark, folder, "category_targets").withColumnRenamed("category_id", "category")
     planned = sp.plan(rows, targets, size_share=1 / 3)
     return planned, sp.draw(rows, planned, SEED)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gaugeworks.session import cut_lineage
+
 #: Half width of the band in standard deviations of the accepted count; 9 leaves a chance near 1e-18 of missing the exact count.
 BAND_SIGMAS = 9.0
 #: A target table of more categories than this is not broadcast.
@@ -42,7 +44,8 @@ def plan(rows: DataFrame, targets: DataFrame, size: int | None = None, size_shar
     p = F.col("wanted") / F.col("observed")
     half = F.lit(BAND_SIGMAS) * F.sqrt(F.col("wanted") + F.lit(1.0)) / F.col("observed")
     every = F.col("wanted") >= F.col("observed")
-    return out.withColumn("acceptance", F.when(F.col("observed") > 0, p).otherwise(0.0)).withColumn("lo", F.when(every, 1.0).otherwise(F.greatest(p - half, F.lit(0.0)))).withColumn("hi", F.when(every, 1.0).otherwise(F.least(p + half, F.lit(1.0))))
+    out = out.withColumn("acceptance", F.when(F.col("observed") > 0, p).otherwise(0.0)).withColumn("lo", F.when(every, 1.0).otherwise(F.greatest(p - half, F.lit(0.0)))).withColumn("hi", F.when(every, 1.0).otherwise(F.least(p + half, F.lit(1.0))))
+    return cut_lineage(out)  # one row a category; drawing and reporting both start from it
 
 
 def draw(rows: DataFrame, planned: DataFrame, seed: int = 42) -> DataFrame:
