@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from gaugeworks.session import cut_lineage
+from gaugeworks.sources.images import decode_rgb
 
 SCHEMA = """
 images array<struct<id:bigint,file_name:string,width:bigint,height:bigint>>,
@@ -58,17 +59,42 @@ class Dataset:
         each = F.array_sort(F.collect_list(F.struct("ord", "ann_id", "category_id", "bbox")))
         return self.images.join(self.annotations.groupBy("image_id").agg(each.alias("annotations")), "image_id", "left").withColumn("annotations", F.coalesce("annotations", F.array()))
 
-    def iter_images(self) -> Iterator:
-        """Images one by one in order, without holding them all."""
-        return self.images.orderBy("ord").toLocalIterator()
+    def iter_images(self, with_annotations: bool = False) -> Iterator:
+        """Pairs (image, its annotations in order, or None) one image after another, without holding them all."""
+        images = self.images.orderBy("ord", "image_id").toLocalIterator()
+        if not with_annotations:
+            yield from ((image, None) for image in images)
+            return
+        order = self.images.select("image_id", F.col("ord").alias("_image_ord"))
+        rows = self.annotations.join(order, "image_id").orderBy("_image_ord", "image_id", "ord").toLocalIterator()
+        row = next(rows, None)
+        for image in images:
+            own = []
+            while row is not None and row["image_id"] == image["image_id"]:
+                own.append(row)
+                row = next(rows, None)
+            yield image, own
 
     def image_files(self) -> DataFrame:
-        """(image_id, file_name, content): the stored bytes of every image; needs an image root."""
+        """(image_id, file_name, content): the stored bytes of every image whose file_name is a path below the image root; empty files count as missing."""
         if self.image_root is None:
             raise RuntimeError("the dataset has no image root")
-        files = self.images.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.image_root)
-        named = files.select(F.element_at(F.split("path", "/"), -1).alias("_n"), "content")
-        return self.images.join(named, F.element_at(F.split("file_name", "/"), -1) == F.col("_n")).select("image_id", "file_name", "content")
+        spark = self.images.sparkSession
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.image_root)
+        prefix = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.image_root)
+        named = files.select(F.substring("path", len(prefix) + 1, 2**31 - 1).alias("_n"), "content")
+        return self.images.join(named, F.regexp_replace("file_name", r"^(?:\./|/)+", "") == F.col("_n")).select("image_id", "file_name", "content")
+
+    def load_image(self, image_id: int):
+        """Pixels of one image as an array of rows, columns and three values; KeyError without such an image, FileNotFoundError without its file."""
+        one = Dataset(self.images.where(F.col("image_id") == image_id), self.categories, self.annotations, self.image_root)
+        if self.image_root is not None and one.images.limit(1).count() == 0:
+            raise KeyError(image_id)
+        found = one.image_files().select("content").first()
+        if found is None:
+            raise FileNotFoundError(f"image {image_id} has no file below {self.image_root}")
+        return decode_rgb(bytes(found["content"]))
 
     def subset(self, image_ids: DataFrame) -> Dataset:
         """The images named by column ``image_id`` with their annotations; all categories stay."""

@@ -3,10 +3,12 @@ import math
 
 import numpy as np
 import pytest
+from conftest import scene
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import stats as st
 from gaugeworks.sources.coco import Dataset, from_tables, read_coco, split_marks
+from gaugeworks.sources.images import decode_rgb, decoded
 
 ANN = "ann_id long, image_id long, category_id long, bbox array<double>, area double, iscrowd int, ord long"
 IMG = "image_id long, file_name string, width long, height long, ord long"
@@ -28,14 +30,88 @@ def small(spark):
 
 
 def test_read(spark, coco_file):
-    data = read_coco(spark, coco_file)
-    assert data.counts().first().asDict() == {"num_images": 20, "num_categories": 5, "num_annotations": 60}
-    assert data.describe() == "Dataset(images=20, categories=5, annotations=60)"
-    assert [r["name"] for r in data.category_names().collect()] == [f"class{i}" for i in range(5)]
-    assert data.of_image(3).count() == 3 and data.boxes_of_image(3).count() == 3 and data.labels_of_image(3).count() == 3
-    assert data.image_ids_of_category(0).count() <= data.of_category(0).count()
-    assert data.with_annotations().where(F.size("annotations") == 3).count() == 20
-    assert next(data.iter_images())["image_id"] == 0
+    doc, data = scene(), read_coco(spark, coco_file)
+    anns, ids = doc["annotations"], {i["id"] for i in doc["images"]}
+    assert data.counts().first().asDict() == {"num_images": 13, "num_categories": 5, "num_annotations": len(anns)}
+    assert data.describe() == f"Dataset(images=13, categories=5, annotations={len(anns)})"
+    assert [r["name"] for r in data.category_names().collect()] == [c["name"] for c in doc["categories"][1:]]
+    assert {r["image_id"]: (r["width"], r["height"]) for r in data.images.collect()} == {i["id"]: (i["width"], i["height"]) for i in doc["images"]}
+    for i in (37, 47, 7):
+        own = [a for a in anns if a["image_id"] == i]
+        assert [tuple(r) for r in data.boxes_of_image(i).collect()] == [tuple(a["bbox"]) for a in own]
+        assert [r["category_id"] for r in data.labels_of_image(i).collect()] == [a["category_id"] for a in own] and data.of_image(i).count() == len(own)
+    assert {r["image_id"] for r in data.image_ids_of_category(3).collect()} == {a["image_id"] for a in anns if a["category_id"] == 3}
+    assert data.of_category(6).count() == 0
+    listed = {r["image_id"]: [a["ann_id"] for a in r["annotations"]] for r in data.with_annotations().collect()}
+    assert listed == {i: [a["id"] for a in anns if a["image_id"] == i] for i in ids}
+    pairs = list(data.iter_images(with_annotations=True))
+    assert {image["image_id"]: [a["ann_id"] for a in own] for image, own in pairs} == listed and [i["image_id"] for i, _ in pairs] == [i["id"] for i in doc["images"][1:]]
+    assert [(i["image_id"], own) for i, own in data.iter_images()] == [(i["id"], None) for i in doc["images"][1:]]
+
+
+def png(pixels, colour, filters=(0, 1, 2, 3, 4), palette=None):
+    """A PNG file of 8-bit samples; lines use the given filters in turn."""
+    import struct
+    import zlib
+
+    h, w, c = pixels.shape
+    flat, lines = pixels.reshape(h, w * c).astype(int), []
+    for y in range(h):
+        kind, up = filters[y % len(filters)], flat[y - 1] if y else np.zeros(w * c, int)
+        left, corner = (np.concatenate([np.zeros(c, int), v[:-c]]) for v in (flat[y], up))
+        p = left + up - corner
+        near = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        guess = [np.zeros(w * c, int), left, up, (left + up) // 2, near][kind]
+        lines.append(bytes([kind]) + ((flat[y] - guess) % 256).astype("uint8").tobytes())
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    extra = chunk(b"PLTE", palette.astype("uint8").tobytes()) if palette is not None else b""
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + extra + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+
+
+def bitmap(pixels, upwards=True):
+    import struct
+
+    h, w, _ = pixels.shape
+    rows = pixels[::-1] if upwards else pixels
+    body = b"".join(r[:, ::-1].tobytes() + bytes(-3 * w % 4) for r in rows)
+    return b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h if upwards else -h, 1, 24, 0, 0, 0, 0, 0, 0) + body
+
+
+def test_pixels_are_decoded():
+    rng = np.random.default_rng(1)
+    rgb, grey, alpha = rng.integers(0, 256, (11, 7, 3)), rng.integers(0, 256, (11, 7, 1)), rng.integers(0, 256, (11, 7, 4))
+    assert (decode_rgb(png(rgb, 2)) == rgb).all() and (decode_rgb(png(alpha, 6)) == alpha[:, :, :3]).all()
+    assert (decode_rgb(png(grey, 0)) == np.repeat(grey, 3, axis=2)).all() and (decode_rgb(png(alpha[:, :, :2], 4)) == np.repeat(alpha[:, :, :1], 3, axis=2)).all()
+    colours = rng.integers(0, 256, (5, 3))
+    assert (decode_rgb(png(grey % 5, 3, palette=colours)) == colours[grey[:, :, 0] % 5]).all()
+    for upwards in (True, False):
+        assert (decode_rgb(bitmap(rgb.astype("uint8"), upwards)) == rgb).all()
+    for broken in (b"", b"GIF89a", png(rgb, 2)[:60], bitmap(rgb.astype("uint8"))[:70]):
+        with pytest.raises(ValueError):
+            decode_rgb(broken)
+
+
+def test_images_are_found_by_their_path(spark, coco_file, tmp_path):
+    doc, shade = scene(), {}
+    for n, image in enumerate(doc["images"][1:]):
+        (tmp_path / image["file_name"]).parent.mkdir(exist_ok=True)
+        shade[image["id"]] = np.full((2, 3, 3), n * 9)
+        (tmp_path / image["file_name"]).write_bytes(png(shade[image["id"]], 2))
+    # the same base name in another folder is another image
+    (tmp_path / "part1" / "0.png").write_bytes(b"other")
+    data = read_coco(spark, coco_file, str(tmp_path))
+    assert data.image_files().count() == 13 and (data.load_image(7) == shade[7]).all()
+    rows = {r["image_id"]: r for r in decoded(data.image_files()).collect()}
+    assert all((np.frombuffer(r["rgb"], "uint8").reshape(r["height"], r["width"], 3) == shade[i]).all() for i, r in rows.items()) and len(rows) == 13
+    (tmp_path / "part0" / "0.png").write_bytes(b"broken")
+    assert decoded(data.image_files()).where("error is not null and rgb is null").select("image_id").collect()[0][0] == 7
+    (tmp_path / "part0" / "0.png").unlink()
+    with pytest.raises(FileNotFoundError):
+        data.load_image(7)
+    with pytest.raises(KeyError):
+        data.load_image(8)
+    with pytest.raises(RuntimeError):
+        read_coco(spark, coco_file).load_image(7)
 
 
 def test_read_duplicates_odd_boxes_and_errors(spark, tmp_path):
@@ -58,9 +134,9 @@ def test_split_is_exact_disjoint_and_repeatable(spark, coco_file, ratio):
     data = read_coco(spark, coco_file)
     a, b = data.split(ratio, 1)
     left, right = ({r["image_id"] for r in d.images.collect()} for d in (a, b))
-    assert len(left) == int(20 * ratio) and not left & right and len(left | right) == 20
+    assert len(left) == int(13 * ratio) and not left & right and len(left | right) == 13
     assert left == {r["image_id"] for r in data.split(ratio, 1)[0].images.collect()}
-    assert a.annotations.count() == 3 * len(left) and a.categories.count() == 5
+    assert a.annotations.count() == sum(x["image_id"] in left for x in scene()["annotations"]) and a.categories.count() == 5
     ids = spark.range(5000).select(F.col("id").alias("image_id"))
     assert split_marks(ids, ratio, 3).where("is_train").count() == int(5000 * ratio)
 

@@ -64,7 +64,7 @@ def test_recipes_and_commands(spark, coco_file, tmp_path, capsys):
     (tmp_path / "tree").mkdir()
     root = tree(tmp_path / "tree")
     assert recipes.folder_imbalance(spark, root)["class_imbalance"]["classes"] == 2
-    assert cli.main(["stats", coco_file, "-o", str(tmp_path / "s.json")], spark) == 0 and json.loads((tmp_path / "s.json").read_text())["num_images"] == 20
+    assert cli.main(["stats", coco_file, "-o", str(tmp_path / "s.json")], spark) == 0 and json.loads((tmp_path / "s.json").read_text())["num_images"] == 13
     assert cli.main(["check", coco_file], spark) == 0 and cli.main(["folders", root, "-o", str(tmp_path / "f")], spark) == 0
     assert cli.main(["report", coco_file, "-o", str(tmp_path / "r"), "-n", "x"], spark) == 0 and (tmp_path / "r" / "x_report.html").exists()
     assert "Most frequent classes" in capsys.readouterr().out
