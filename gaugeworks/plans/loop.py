@@ -32,6 +32,8 @@ class RoundResult:
     labeled_pool_size: int
     unlabeled_pool_size: int
     metrics: dict = field(default_factory=dict)
+    #: Column ``id`` of the rows queried in this round; stays distributed.
+    queried: DataFrame | None = None
 
 
 def initial_pool(ids: DataFrame, config: LoopConfig, seed_ids: DataFrame | None = None) -> DataFrame:
@@ -131,7 +133,7 @@ class ActiveLearningLoop:
             self.pool = cut_lineage(move_pool(self.pool, queried, number))
             metrics = {**self._train(), **self._evaluate()}
             sizes = {r["is_labeled"]: r["n"] for r in self.pool.groupBy("is_labeled").agg(F.count(F.lit(1)).alias("n")).collect()}
-            self.history.append(RoundResult(number, queried.count(), sizes.get(True, 0), sizes.get(False, 0), metrics))
+            self.history.append(RoundResult(number, queried.count(), sizes.get(True, 0), sizes.get(False, 0), metrics, queried))
             quality = metrics.get("quality")
             if quality is not None:
                 if before is not None:

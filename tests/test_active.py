@@ -134,6 +134,8 @@ def test_loop_moves_rows(spark, backend, family, method):
     assert loop.labeled().intersect(loop.unlabeled()).count() == 0
     assert loop.pool.where(F.col("round_added") == 1).count() == history[1].n_queried
     assert [r["round"] for r in loop.summary()] == [1, 2]
+    for n, r in enumerate(history):
+        assert {x["id"] for x in r.queried.collect()} == {x["id"] for x in loop.pool.where(F.col("round_added") == n).collect()}
 
 
 def test_loop_stops(spark, backend):
@@ -157,3 +159,81 @@ def test_table_backend(spark, backend):
     assert t.predict_proba(ids.limit(4)).count() == 4
     with pytest.raises(NotImplementedError):
         t.compute_gradients(ids)
+
+
+class Layer:
+    """A stand-in for a module: adds its number to its input and tells its hooks."""
+
+    def __init__(self, n, parts=()):
+        self.n, self.parts, self.hooks = n, list(parts), []
+
+    def __getitem__(self, i):
+        return self.parts[i]
+
+    def register_forward_hook(self, f):
+        self.hooks.append(f)
+        return type("Hook", (), {"remove": lambda _: self.hooks.remove(f)})()
+
+    def eval(self):
+        return self
+
+    def to(self, device):
+        return self
+
+    def __call__(self, x):
+        out = x
+        for part in self.parts:
+            out = part(out)
+        out = Tensor(np.asarray(out) + self.n)
+        for f in list(self.hooks):
+            f(self, (x,), out)
+        return out
+
+
+class Tensor(np.ndarray):
+    def __new__(cls, x):
+        return np.asarray(x).view(cls)
+
+    def cpu(self):
+        return self
+
+    def numpy(self):
+        return np.asarray(self)
+
+
+def test_embeddings_of_a_named_layer(monkeypatch):
+    import contextlib
+    import sys
+    import types
+
+    torch = types.ModuleType("torch")
+    torch.no_grad, torch.float32 = contextlib.nullcontext, None
+    torch.as_tensor = lambda x, dtype=None, device=None: Tensor(x)
+    monkeypatch.setitem(sys.modules, "torch", torch)
+    module = Layer(100, [Layer(1), Layer(10, [Layer(2)])])
+    module.body = module.parts[1]
+    x = np.arange(6.0).reshape(2, 3)
+    assert (bk.torch_embed(module, "body.0")(x) == x + 3).all() and (bk.torch_embed(module, "1")(x) == x + 13).all()
+    assert not module.parts[1].hooks and not module.parts[1].parts[0].hooks
+    assert (bk.torch_embed(module, "0")(x.reshape(2, 3, 1)) == x + 1).all()
+    for missing in ("body.7", "head"):
+        with pytest.raises(AttributeError):
+            bk.torch_embed(module, missing)(x)
+
+
+def test_one_epoch_in_batches(spark, backend):
+    seen = []
+    model = type("Model", (), {"train_on_batch": lambda self, x, y: seen.append((x.shape, y.tolist())) or [len(y) / 10, 0.5]})()
+    labels = spark.range(50).selectExpr("id", "cast(id % 3 as int) as label")
+    out = bk.keras_trainer(model, labels, batch_rows=20)(backend.features)
+    assert [s for s, _ in seen] == [(20, 4), (20, 4), (10, 4)] and seen[0][1][:4] == [0, 1, 2, 0]
+    assert out == {"loss": pytest.approx((2 + 2 + 1) / 3), "batches": 3}
+    assert bk.keras_trainer(model, labels)(backend.features.where("false"))["batches"] == 0
+
+
+def test_uneven_features_are_refused(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], "id long, features array<double>").coalesce(1)
+    b = bk.BatchFunctionBackend(df, lambda m, seed: m)
+    with pytest.raises(Exception, match="between 1 and 2"):
+        b.predict_proba(df).collect()
+    assert b.get_embeddings(df.where("id <> 2")).count() == 1
