@@ -13,8 +13,12 @@ from gaugeworks.operators.neighbors import exact_neighbours, usable_rows, vector
 
 
 def knn_quality(neighbours: DataFrame) -> DataFrame:
-    """(id, label, knn_score): share of the neighbours with the row's own label."""
-    return neighbours.groupBy("id", "label").agg(F.avg((F.col("label") == F.col("neighbour_label")).cast("double")).alias("knn_score"))
+    """(id, label, knn_score): share of the neighbours with the row's own label; neighbours without a label have another one.
+
+    Rows without a label have no score.
+    """
+    own = F.coalesce(F.col("label") == F.col("neighbour_label"), F.lit(False))
+    return neighbours.where(F.col("label").isNotNull()).groupBy("id", "label").agg(F.avg(own.cast("double")).alias("knn_score"))
 
 
 def prototypes(df: DataFrame, dim: int) -> DataFrame:
@@ -69,14 +73,15 @@ def rank_candidates(scores: DataFrame, neighbours: DataFrame, top_k: int | None
     """(id, given_label, suggested_label, score, mislabel_score, neighbour_counts), lowest score first, lower id on ties.
 
     suggested_label is the most frequent label among the neighbours, the smallest on ties;
-    neighbour_counts holds their number by label, up to the largest that occurs.
+    neighbour_counts holds their number by label, up to the largest that occurs. Neighbours
+    without a label do not count; where none has one both are null.
     """
     chosen = scores.orderBy("score", "id").limit(top_k) if top_k is not None else scores
-    votes = neighbours.join(chosen.select("id"), "id", "left_semi").groupBy("id", "neighbour_label").agg(F.count(F.lit(1)).alias("n"))
+    votes = neighbours.where(F.col("neighbour_label").isNotNull()).join(chosen.select("id"), "id", "left_semi").groupBy("id", "neighbour_label").agg(F.count(F.lit(1)).alias("n"))
     counts = F.map_from_entries(F.collect_list(F.struct("neighbour_label", "n")))
     per = votes.groupBy("id").agg(F.max_by("neighbour_label", F.struct("n", -F.col("neighbour_label"))).alias("suggested_label"), counts.alias("_c"), F.max("neighbour_label").alias("_top"))
     dense = F.transform(F.sequence(F.lit(0), F.col("_top")), lambda i: F.coalesce(F.try_element_at("_c", i), F.lit(0)))
-    return chosen.join(per, "id").select("id", F.col("label").alias("given_label"), "suggested_label", "score", (1 - F.col("score")).alias("mislabel_score"), dense.alias("neighbour_counts")).orderBy("score", "id")
+    return chosen.join(per, "id", "left").select("id", F.col("label").alias("given_label"), "suggested_label", "score", (1 - F.col("score")).alias("mislabel_score"), dense.alias("neighbour_counts")).orderBy("score", "id")
 
 
 def mislabel_summary(scores: DataFrame) -> DataFrame:

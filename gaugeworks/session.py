@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,3 +46,8 @@ def cut_lineage(df):
     """Write ``df`` once to the shared checkpoint folder and return the written rows."""
     shared_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new name below the shared checkpoint folder, for files that one query writes and reads."""
+    return os.path.join(shared_checkpoint_dir(spark), f"scratch-{uuid.uuid4().hex}")

@@ -164,6 +164,30 @@ def _tagged(name: str) -> Column:
     return F.coalesce(F.transform(name, one), F.array())
 
 
+def write_coco(data: Dataset, path: str) -> None:
+    """Writes one annotation document, streamed through the driver in the order of ``ord``, as a document is a single file."""
+    spark = data.images.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    keys = {"images": "image_id", "categories": "category_id", "annotations": "ann_id"}
+    try:
+        for n, (part, fields) in enumerate(_PARTS.items()):
+            out.write(bytearray((f'{{"{part}":[' if n == 0 else f'],"{part}":[').encode()))
+            row = F.to_json(F.struct(F.col(keys[part]).alias("id"), *fields))
+            held: list[str] = []
+            first = True
+            for r in getattr(data, part).orderBy("ord").select(row.alias("r")).toLocalIterator():
+                held.append(r["r"])
+                if len(held) == 5000:
+                    out.write(bytearray((("" if first else ",\n") + ",\n".join(held)).encode()))
+                    held, first = [], False
+            if held:
+                out.write(bytearray((("" if first else ",\n") + ",\n".join(held)).encode()))
+        out.write(bytearray(b"]}"))
+    finally:
+        out.close()
+
+
 def from_tables(images: DataFrame, categories: DataFrame, annotations: DataFrame) -> Dataset:
     """A dataset from stored tables, whose rows may be redelivered.
 
