@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.plans import broadcast_if_small
 from gaugeworks.llm import cooccurrence as co
 from gaugeworks.llm import mixing as mx
 from gaugeworks.llm import neighbours as nb
@@ -141,6 +142,37 @@ def p4_merged(spark: SparkSession, folder: str) -> DataFrame:
     return qt.percentiles(qt.merge(daily, by, EPS), by, P4_FRACTIONS, EPS)
 
 
+def _promises(read: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., fraction, n_values, bounded, near): whether the exact percentile lies in [lower, upper], and the estimate within its rank error of it."""
+    exact = weighted_percentiles(compress_values(values, by, "value"), by, "value", P4_FRACTIONS).select(*by, "fraction", F.col("percentile").alias("exact"))
+    both = cut_lineage(read.join(exact, [*by, "fraction"]))
+    # ranks of the estimate, less and more by the width of a cell
+    cells = F.abs(F.col("estimate")) * 2.0 ** (1 - qt.MANTISSA_BITS)
+    ranks = values.join(broadcast_if_small(both).select(*by, "fraction", (F.col("estimate") - cells).alias("_lo"), (F.col("estimate") + cells).alias("_hi")), by).groupBy(*by, "fraction").agg(F.count_if(F.col("value") < F.col("_lo")).alias("below"), F.count_if(F.col("value") <= F.col("_hi")).alias("upto"))
+    at = F.col("fraction") * (F.col("n_values") - 1) + 1
+    near = (F.col("below") <= at + F.col("rank_error") + 1) & (F.col("upto") >= at - F.col("rank_error") - 1)
+    return both.join(ranks, [*by, "fraction"]).select(*by, "fraction", "n_values", F.col("exact").between(F.col("lower"), F.col("upper")).alias("bounded"), near.alias("near"))
+
+
+def p4_daily_promises(spark: SparkSession, folder: str) -> DataFrame:
+    by, values = ["category_id", "measure", "day"], _known(_areas(spark, folder), "day")
+    return _promises(qt.percentiles(qt.digest(values, by, F.col("value"), EPS), by, P4_FRACTIONS, EPS), values, by)
+
+
+def p4_merged_promises(spark: SparkSession, folder: str) -> DataFrame:
+    by, values = ["category_id", "measure"], _known(_areas(spark, folder))
+    daily = qt.digest(values, [*by, "day"], F.col("value"), EPS)
+    return _promises(qt.percentiles(qt.merge(daily, by, EPS), by, P4_FRACTIONS, EPS), values, by)
+
+
+def _known(values: DataFrame, *keys: str) -> DataFrame:
+    """Finite values under known keys, written once."""
+    known = F.abs("value") < float("inf")
+    for k in ("category_id", *keys):
+        known = known & F.col(k).isNotNull()
+    return cut_lineage(values.where(known))
+
+
 # --- p5: sample by target shares
 
 
@@ -166,6 +198,11 @@ def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
     return _sample(spark, folder)[1].select(F.col("id").alias("annotation_id"), F.col("category").alias("category_id"))
 
 
+def p5_sample_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and distinct annotations of the sample by category."""
+    return p5_sample(spark, folder).groupBy("category_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("annotation_id").alias("annotations"))
+
+
 _TARGETS = """
 with a as (select id, any_value(category_id) as category_id from annotations where id is not null group by id),
 s as (select count(*) // 3 as s from a),
@@ -222,6 +259,18 @@ def p8_usage(spark: SparkSession, folder: str) -> DataFrame:
     return pk.usage(_packed(spark, folder), table(spark, folder, "container_sizes"))
 
 
+def p8_promises(spark: SparkSession, folder: str) -> DataFrame:
+    """Per kind: documents, tokens, containers that hold too much, documents split without need or in parts, and whether nine tenths of the room is used."""
+    packed = cut_lineage(_packed(spark, folder))
+    kinds = table(spark, folder, "container_sizes").groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity"))
+    full = packed.groupBy("container_kind", "group_id", "container_no").agg(F.sum("tokens").alias("used")).join(F.broadcast(kinds), "container_kind")  # a few kinds
+    full = full.groupBy("container_kind").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"), (F.sum("used") >= 0.9 * F.sum("capacity")).alias("well_used"))
+    docs = packed.groupBy("container_kind", "doc_id").agg(F.sum("tokens").alias("tokens"), F.max("pieces").alias("pieces"), F.count(F.lit(1)).alias("n")).join(F.broadcast(kinds), "container_kind")
+    wrong = (F.col("n") != F.col("pieces")) | ((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity")))
+    docs = docs.groupBy("container_kind").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"), F.count_if(wrong).alias("wrongly_split"))
+    return docs.join(full, "container_kind")
+
+
 # --- p9: mixing
 
 
@@ -298,6 +347,19 @@ with e as (select {id} as id, any_value([cast(x as double) for x in embedding])
 v as (select * exclude (v), list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as u from e)
 """
 
+_NEAR = _UNIT.format(id="sample_id", table="sample_vectors", keep="") + """,
+n as (select a.id as a, b.id as b, round(list_inner_product(a.u, b.u), 9) as c, row_number() over (partition by a.id order by round(list_inner_product(a.u, b.u), 9) desc, b.id) as rn
+      from v a join v b on a.id <> b.id where a.id % 100 = 0 qualify rn <= 5)
+"""
+
+_AREAS = """
+with a as (select id, any_value(category_id) as category_id, cast(any_value(created_at) as date) as day, any_value(area) as area, any_value(bbox) as bbox from annotations where id is not null group by id),
+l as (select category_id, day, 'recorded' as measure, area as value from a where area is not null and isfinite(area) and category_id is not null
+      union all select category_id, day, 'box', bbox[3] * bbox[4] from a where category_id is not null and len(bbox) = 4
+        and coalesce(list_bool_and([isfinite(bbox[1]), isfinite(bbox[2]), isfinite(bbox[3]), isfinite(bbox[4])]), false) and bbox[3] > 0 and bbox[4] > 0),
+q as (select unnest([0.1, 0.5, 0.9, 0.99])::double as fraction)
+"""
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_cooccurrence": p2_cooccurrence,
@@ -307,15 +369,19 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_daily": p4_daily,
     "p4_merged": p4_merged,
+    "p4_daily_promises": p4_daily_promises,
+    "p4_merged_promises": p4_merged_promises,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p5_sample": p5_sample,
+    "p5_sample_counts": p5_sample_counts,
     "p6_found": p6_found,
     "p6_subset": p6_subset,
     "p6_subset_report": p6_subset_report,
     "p8_found": p8_found,
     "p8_packed": p8_packed,
     "p8_usage": p8_usage,
+    "p8_promises": p8_promises,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
     "p9_selected": p9_selected,
@@ -335,6 +401,21 @@ ORACLES = {
 p as (select a.id as a, b.id as b, list_inner_product(a.u, b.u) as c from v a join v b on a.id <> b.id and list_inner_product(a.u, b.u) >= 0.92),
 r as (select *, row_number() over (partition by a order by c desc, b) as rn from p)
 select x.a as sample_a, x.b as sample_b from r x join r y on x.a = y.b and x.b = y.a where x.a < x.b and x.rn <= 5 and y.rn <= 5
+""",
+    "p3_neighbours": _NEAR + "select a as sample_id, b as neighbour_id, cast(rn as integer) as rank, round(c, 6) as cosine from n",
+    "p3_label_agreement": _NEAR + """,
+l as (select sample_id as id, any_value(label) as label from sample_vectors where sample_id is not null group by 1),
+v1 as (select a, o.label as other, count(*) as c from n left join l o on o.id = b group by 1, 2),
+v2 as (select a, other from v1 where other is not null qualify row_number() over (partition by a order by c desc, other) = 1)
+select v1.a as sample_id, l.label, cast(sum(c) as bigint) as n_neighbours, cast(sum(case when v1.other = l.label then c else 0 end) as double) / sum(c) as agreement, any_value(v2.other) as suggested
+from v1 left join l on l.id = v1.a left join v2 on v2.a = v1.a group by 1, 2
+""",
+    "p4_daily_promises": _AREAS + "select category_id, measure, day, fraction, count(*) as n_values, true as bounded, true as near from l, q where day is not null group by 1, 2, 3, 4",
+    "p4_merged_promises": _AREAS + "select category_id, measure, fraction, count(*) as n_values, true as bounded, true as near from l, q group by 1, 2, 3",
+    "p5_sample_counts": _TARGETS + "select category_id, least(observed, cast(ceil(required) as bigint)) as n, n as annotations from r where n > 0",
+    "p8_promises": """
+select container_kind, (select count(*) from documents) as documents, (select cast(sum(coalesce(strlen(text), 0)) as bigint) from documents) as tokens,
+       0::bigint as wrongly_split, 0::bigint as overfull, true as well_used from container_sizes
 """,
     "p4_found": """
 with a as (select id, any_value(category_id) as category_id, any_value(bbox[3] * bbox[4]) as v from annotations
