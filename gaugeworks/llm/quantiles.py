@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,40 +224,50 @@ def percentiles(digests: DataFrame, by: Sequence[str], fractions: Sequence[float
     schema = T.StructType([T.StructField(b, kinds[b]) for b in by] + [T.StructField("fraction", T.DoubleType()), T.StructField("n_values", T.LongType())] + [T.StructField(d, T.DoubleType()) for d in doubles])
     fractions = [float(q) for q in fractions]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [_read(n, nodes, counts, fractions) for n, nodes, counts in zip(pdf["n_values"], pdf["nodes"], pdf["counts"])]
-            rows = pdf[by].loc[pdf.index.repeat(len(fractions))].reset_index(drop=True)
-            rows["fraction"] = fractions * len(pdf)
-            rows["n_values"] = pdf["n_values"].repeat(len(fractions)).to_numpy()
-            for i, c in enumerate(("estimate", "lower", "upper")):
-                rows[c] = [float(x[i]) for r in out for x in r]
-            rows["rank_error"] = rows["n_values"] * eps
-            yield rows
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(len(by) + 1)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            n = batch.column(len(by)).to_numpy()
+            found = _read(n, lengths, lists.flatten().to_numpy(), batch.column(len(by) + 2).flatten().to_numpy(), fractions)
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), len(fractions)))
+            keys = [batch.column(i).take(rows) for i in range(len(by))]
+            each = np.repeat(n, len(fractions))
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.tile(fractions, batch.num_rows)), pa.array(each), *(pa.array(x.ravel()) for x in found), pa.array(each * eps)], names=schema.names)
 
-    return digests.mapInPandas(run, schema)
+    return digests.select(*by, "n_values", "nodes", "counts").mapInArrow(run, schema)
 
 
-def _read(n: int, nodes, counts, fractions):
-    """(estimate, lower, upper) for each fraction of one digest."""
+def _read(n, lengths, nodes, counts, fractions):
+    """(estimate, lower, upper), each by digest and fraction, of digests whose nodes and counts follow each other."""
     import numpy as np
 
-    nodes, counts = np.asarray(nodes, dtype="int64"), np.asarray(counts, dtype="int64")
+    nodes, counts = nodes.astype("int64"), counts.astype("int64")
+    group = np.repeat(np.arange(len(n)), lengths)
     level = np.floor(np.log2(nodes)).astype("int64")
     width = np.left_shift(1, DEPTH - level)
     first = (nodes << (DEPTH - level)) - (1 << DEPTH)
     last = first + width - 1
-    by_last, by_first = np.lexsort((level * -1, last)), np.argsort(first, kind="stable")
+    by_last, by_first = np.lexsort((-level, last, group)), np.lexsort((first, group))
+    # ranks within a digest are places in the running sum over all digests
     sure, may = np.cumsum(counts[by_last]), np.cumsum(counts[by_first])
-    found = []
-    for q in fractions:
-        at = q * (n - 1)
-        lo_rank, hi_rank = int(np.floor(at)) + 1, int(np.ceil(at)) + 1
-        # all of the first lo_rank values lie in nodes that begin at or before this cell
-        lower = cell_bounds(first[by_first][np.searchsorted(may, lo_rank)])[0]
-        upper = cell_bounds(last[by_last][np.searchsorted(sure, hi_rank)])[1]
-        e = last[by_last][min(len(sure) - 1, np.searchsorted(sure, max(1, round(at + 1))))]
-        a, b = cell_bounds(e)
-        mid = np.clip((a + b) / 2 if np.isfinite(a + b) else (a if np.isfinite(a) else b), lower, upper)
-        found.append((mid, lower, upper))
-    return found
+    before = np.cumsum(n) - n
+    ends = np.cumsum(lengths)
+
+    def at_rank(order, running, rank):
+        place = np.searchsorted(running, before[:, None] + rank)
+        return order[np.minimum(place, ends[:, None] - 1)]
+
+    at = np.asarray(fractions)[None, :] * (n[:, None] - 1)
+    # all of the first values up to this rank lie in nodes that begin at or before this cell
+    lower = cell_bounds(first[at_rank(by_first, may, np.floor(at).astype("int64") + 1)])[0]
+    upper = cell_bounds(last[at_rank(by_last, sure, np.ceil(at).astype("int64") + 1)])[1]
+    a, b = cell_bounds(last[at_rank(by_last, sure, np.maximum(1, np.rint(at + 1)).astype("int64"))])
+    with np.errstate(invalid="ignore"):
+        middle = np.where(np.isfinite(a + b), (a + b) / 2, np.where(np.isfinite(a), a, b))
+    return np.clip(middle, lower, upper), lower, upper
