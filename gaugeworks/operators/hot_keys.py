@@ -54,15 +54,23 @@ def weighted_percentiles(compressed: DataFrame, keys: Sequence[str], value: str,
     ``compressed`` has (keys..., value, n). With ``interpolate`` the result is linear
     between the two nearest ranks, else the smallest value whose cumulative share
     reaches the fraction. Null values and null keys are ignored; NaN sorts last.
+    """
+    return slice_percentiles(value_slices(compressed, keys, value), keys, value, fractions, interpolate)
+
 
-    Slices come from a range partitioning on (keys, value), which splits a hot key;
-    offsets are sums over the slices before, one row per key and slice. The slices are
-    written to the checkpoint folder when the function is called.
+def value_slices(compressed: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys..., value, n, _slice) of known keys and values, written to the checkpoint folder.
+
+    Slices come from a range partitioning on (keys, value), which splits a hot key. They
+    are written once, as the borders come from a sample: a second run could cut elsewhere.
     """
-    keys = list(keys)
     rows = compressed.where(_all_known(keys) & F.col(value).isNotNull()).select(*keys, value, "n")
-    # written once: the borders come from a sample, so a second run could cut elsewhere
-    sliced = cut_lineage(rows.repartitionByRange(*[F.col(k) for k in keys], F.col(value)).withColumn("_slice", F.spark_partition_id()))
+    return cut_lineage(rows.repartitionByRange(*[F.col(k) for k in keys], F.col(value)).withColumn("_slice", F.spark_partition_id()))
+
+
+def slice_percentiles(sliced: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], interpolate: bool = True) -> DataFrame:
+    """``weighted_percentiles`` from ``value_slices``: offsets are sums over the slices before, one row per key and slice."""
+    keys = list(keys)
     per_slice = sliced.groupBy(*keys, "_slice").agg(F.sum("n").alias("_n"))
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from gaugeworks.functions.plans import broadcast_if_small
-from gaugeworks.operators.hot_keys import weighted_percentiles
+from gaugeworks.operators.hot_keys import slice_percentiles, value_slices, weighted_percentiles
 from gaugeworks.session import cut_lineage
 from gaugeworks.sources.coco import Dataset
 
@@ -108,21 +108,19 @@ def bbox_statistics(data: Dataset) -> DataFrame:
     boxes = boxes.join(data.images.select("image_id"), "image_id", "left_semi").groupBy("w", "h").agg(F.sum("n").alias("n"))
     boxes = cut_lineage(boxes)  # read by every statistic below; else its scans and joins would run for each
     area = F.col("w") * F.col("h")
-    measures = boxes.crossJoin(F.broadcast(mean_area)).select(  # one row
-        "n",
-        F.explode(
-            F.create_map(
-                F.lit("area"), area, F.lit("width"), F.col("w"), F.lit("height"), F.col("h"),
-                F.lit("aspect_ratio"), F.when(F.col("h") > 0, F.col("w") / F.col("h")).otherwise(0.0),
-                F.lit("relative_area"), area / F.greatest("_mean", F.lit(1e-300)),
-            )
-        ).alias("measure", "value"),
-    )
-    weighted = measures.groupBy("measure", "value").agg(F.sum("n").alias("n"))
-    simple = weighted.groupBy("measure").agg(F.sum("n").alias("_n"), F.min("value").alias("min"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.max("value").alias("max"))
-    exact = weighted_percentiles(weighted, ["measure"], "value", [q for q, _ in _SUMMARY])
+    aspect = F.when(F.col("h") > 0, F.col("w") / F.col("h")).otherwise(0.0)
+    measures = boxes.select("n", F.explode(F.create_map(F.lit("area"), area, F.lit("width"), F.col("w"), F.lit("height"), F.col("h"), F.lit("aspect_ratio"), aspect)).alias("measure", "value"))
+    # all statistics are taken from the slices, so equal values are counted and sorted once
+    sliced = value_slices(measures.groupBy("measure", "value").agg(F.sum("n").alias("n")), ["measure"], "value")
+    simple = sliced.groupBy("measure").agg(F.sum("n").alias("_n"), F.min("value").alias("min"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.max("value").alias("max"))
+    exact = slice_percentiles(sliced, ["measure"], "value", [q for q, _ in _SUMMARY])
     wide = exact.groupBy("measure").agg(*[F.max(F.when(F.abs(F.col("fraction") - q) < 1e-9, F.col("percentile"))).alias(n) for q, n in _SUMMARY])
-    return simple.join(wide, "measure").select("measure", F.col("_n").alias("n"), "min", "p25", "median", "mean", "p75", "p95", "max")
+    values = ["min", "p25", "median", "mean", "p75", "p95", "max"]
+    out = simple.join(wide, "measure").select("measure", F.col("_n").alias("n"), *values).crossJoin(F.broadcast(mean_area))  # one row
+    # relative areas are areas over one number, so their statistics are those of the areas over it
+    scale = F.when(F.col("_as") == "relative_area", F.greatest("_mean", F.lit(1e-300))).otherwise(1.0)
+    both = out.withColumn("_as", F.explode(F.when(F.col("measure") == "area", F.array(F.lit("area"), F.lit("relative_area"))).otherwise(F.array("measure"))))
+    return both.select(F.col("_as").alias("measure"), "n", *[(F.col(v) / scale).alias(v) for v in values])
 
 
 def image_size_statistics(data: Dataset) -> DataFrame:
