@@ -25,9 +25,9 @@ MAX_PIVOTS = 16_384
 #: Beyond that every pivot's cell is divided by the direction in which a vector lies from the pivot: at most this many.
 MAX_DIRECTIONS = 256
 #: Classes on either side of one tile; larger cells are cut into several tiles.
-TILE_CLASSES = 8_192
+TILE_CLASSES = 24_576
 #: Rows of a tile multiplied at once.
-STRIP = 512
+STRIP = 256
 #: A class with at least this cosine with its pivot is in the inner shell of its cell.
 INNER = 0.7
 #: Classes of a region of inner shells; outer shells, which bounds seldom exclude, fill a tile.
@@ -86,8 +86,13 @@ def encode(unit, wide: bool = True):
     return np.concatenate([head.view("uint8").reshape(len(unit), HEAD_BYTES), codes.view("uint8").reshape(len(unit), -1)], axis=1)
 
 
+def _scaled(codes, scale):
+    """int8 codes times their scale: products in float32 are off by less than 1e-5, which the bounds allow for."""
+    return (codes * scale[:, None]).astype("float32")
+
+
 class Block:
-    """Decoded payloads: ``ids``, ``codes``, ``scale``, ``error``, and the int8 plane with its error."""
+    """Decoded payloads: ``ids``, ``codes``, ``scale``, ``error``, and the scaled int8 plane ``rough`` with its error."""
 
     def __init__(self, ids, payload, dim: int):
         import numpy as np
@@ -98,16 +103,26 @@ class Block:
         head = np.ascontiguousarray(raw[:, :HEAD_BYTES]).view("float32").astype("float64")
         self.scale, self.error = head[:, 0], head[:, 1]
         self.codes = np.ascontiguousarray(raw[:, HEAD_BYTES:]).view("int16" if wide else "int8")
-        # int8 products of up to 1024 values stay exact in float32
         if not wide:
-            self.high, self.step, self.high_error = self.codes.astype("float32"), self.scale, self.error
+            self.high_error, self.rough = self.error, _scaled(self.codes, self.scale)
             return
         high = np.rint(self.codes / 256.0).clip(-127, 127)
-        self.high, self.step = high.astype("float32"), self.scale * 256
+        self.rough = _scaled(high, self.scale * 256)
         rest = (self.codes - high * 256.0) * self.scale[:, None]
         self.high_error = np.sqrt((rest * rest).sum(axis=1)) + self.error
 
 
+def _best_of(i, j, value, k: int, room: float):
+    """The pairs whose value is at most ``room`` below the k-th largest of their i."""
+    import numpy as np
+
+    order = np.lexsort((-value, i))
+    i, j, value = i[order], j[order], value[order]
+    begin, end = np.searchsorted(i, i), np.searchsorted(i, i, side="right")
+    keep = (end - begin <= k) | (value >= value[np.minimum(begin + k - 1, end - 1)] - room)
+    return i[keep], j[keep]
+
+
 def tile_pairs(x: Block, y: Block, floor, k: int | None, others: bool = True):
     """Pairs (row in x, row in y, cosine, error bound) that may be among the k best of their x and reach ``floor``.
 
@@ -121,17 +136,21 @@ def tile_pairs(x: Block, y: Block, floor, k: int | None, others: bool = True):
     widest = y.high_error.max(initial=0.0)
     for start in range(0, len(x.scale), STRIP):
         rows = slice(start, start + STRIP)
-        rough = (x.high[rows] @ y.high.T) * (x.step[rows, None] * y.step[None, :]).astype("float32")
-        slack = x.high_error[rows].max() * (1 + widest) + widest + 1e-5
-        if k is not None and len(y.scale) > k + 1:
-            # the k + 1 best, as one of them may be the class itself
-            kth = np.partition(rough, len(y.scale) - k - 1, axis=1)[:, len(y.scale) - k - 1] - 2 * slack
-            least = kth if floor is None else np.maximum(kth, floors[rows] - slack)
-            i, j = np.nonzero(rough >= least[:, None])
-        elif floor is not None:
-            i, j = np.nonzero(rough >= (floors[rows] - slack).astype("float32")[:, None])
+        rough = x.rough[rows] @ y.rough.T
+        slack = x.high_error[rows].max() * (1 + widest) + widest + 2e-5
+        least = None if floor is None else (floors[rows] - slack).astype("float32")[:, None]
+        above = None if floor is None else rough >= least
+        if k is None:
+            i, j = np.nonzero(above) if above is not None else (a.ravel() for a in np.indices(rough.shape))
+        elif len(y.scale) <= k + 1:
+            i, j = np.nonzero(above if above is not None else np.ones(rough.shape, dtype=bool))
+        elif above is not None and np.count_nonzero(above) <= 32 * (k + 1) * len(rough):
+            i, j = np.nonzero(above)
+            i, j = _best_of(i, j, rough[i, j], k + 1, 2 * slack)
         else:
-            i, j = (a.ravel() for a in np.indices(rough.shape))
+            # the k + 1 best, as one of them may be the class itself
+            kth = np.partition(rough, len(y.scale) - k - 1, axis=1)[:, len(y.scale) - k - 1, None] - 2 * slack
+            i, j = np.nonzero(rough >= (kth if least is None else np.maximum(kth, least)))
         i = i + start
         if others:
             apart = x.ids[i] != y.ids[j]
