@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Documents of a group, on average; larger groups leave less room unused.
 GROUP_DOCUMENTS = 8192
+#: Kinds of container in one call.
+MAX_KINDS = 1_000
 
 
 def first_fit_decreasing(sizes: Sequence[int], capacity: int) -> list[int]:
@@ -51,11 +53,12 @@ def pack(items: DataFrame, containers: DataFrame, group_documents: int = GROUP_D
     document of more than the capacity is cut into full pieces and a rest; any other stays
     whole. Null and zero sizes take no room and get one piece of 0 tokens. Kinds whose
     capacity is null or below 1 are left out. (group_id, container_no) names a container of
-    a kind. Repeated doc_ids are packed as separate items.
+    a kind. Repeated doc_ids are packed as separate items. Every group packs all kinds, so
+    more than MAX_KINDS of them raise ValueError.
     """
-    kinds = containers.where(F.col("container_kind").isNotNull() & (F.col("capacity_tokens") >= 1)).groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity")).limit(1001).collect()
-    if len(kinds) > 1000:
-        raise ValueError("more than 1000 kinds of container")
+    kinds = containers.where(F.col("container_kind").isNotNull() & (F.col("capacity_tokens") >= 1)).groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity")).limit(MAX_KINDS + 1).collect()
+    if len(kinds) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of container")
     if n_items is None:
         n_items = items.count()
     groups = max(1, round(n_items / group_documents))
