@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import pathlib
 import shutil
 from collections.abc import Iterator
 
@@ -10,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks import cli
 from gaugeworks.operators import checks as ck
 from gaugeworks.operators import diversity as dv
 from gaugeworks.operators import label_quality as lq
@@ -19,7 +22,7 @@ from gaugeworks.operators import stats as st
 from gaugeworks.operators import uncertainty as un
 from gaugeworks.operators.neighbors import exact_neighbours, usable_rows
 from gaugeworks.plans import recipes
-from gaugeworks.plans.backends import TableBackend
+from gaugeworks.plans.backends import BatchFunctionBackend, TableBackend
 from gaugeworks.plans.loop import ActiveLearningLoop, LoopConfig, Strategy, initial_pool
 from gaugeworks.queries import audit as au
 from gaugeworks.session import cut_lineage, scratch_folder
@@ -176,6 +179,29 @@ def label_validation(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(lq.validate(au._probs(spark, folder)),)], "classes int")
 
 
+def dataset_repr(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.createDataFrame([(au.dataset(spark, folder).describe(),)], "text string")
+
+
+def command_line(spark: SparkSession, folder: str) -> DataFrame:
+    """What the four commands say of the tables written as a document, and of the documents as a tree: figures of their JSON output."""
+    place, root = scratch_folder(spark).removeprefix("file:"), _tree(spark, folder)
+    os.makedirs(place)
+    try:
+        document = f"{place}/annotations.json"
+        write_coco(au.dataset(spark, folder), f"file:{document}")
+        runs = [cli.main(["stats", document, "-o", f"{place}/stats.json"], spark), cli.main(["check", document, "-o", f"{place}/check.json"], spark)]
+        runs += [cli.main(["report", document, "-n", "one", "-o", place], spark), cli.main(["folders", root, "-n", "two", "-o", place], spark)]
+        stats, check, one, two = (json.loads(pathlib.Path(place, f).read_text()) for f in ("stats.json", "check.json", "one_report.json", "two_report.json"))
+        page = pathlib.Path(place, "one_report.html").read_text()
+    finally:
+        shutil.rmtree(root, ignore_errors=True)
+        shutil.rmtree(place, ignore_errors=True)
+    rows = [("failed", sum(runs)), ("stats_images", stats["num_images"]), ("stats_annotations", stats["num_annotations"]), ("check_issues", check["total_issues"])]
+    rows += [("report_issues", one["sections"]["annotation_checks"]["total_issues"]), ("report_sections", len(one["sections"])), ("page_sections", page.count("<h2>")), ("folder_images", two["sections"]["dataset_statistics"]["num_images"])]
+    return spark.createDataFrame(rows, "name string, value long")
+
+
 # --- selectors and rounds
 
 
@@ -221,6 +247,35 @@ def loop_rounds(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "round int, queried long, labeled long, unlabeled long, id_sum long")
 
 
+def _backend(spark: SparkSession, folder: str) -> tuple[BatchFunctionBackend, DataFrame]:
+    """A model whose logits are the first three values of a vector, scaled by the pass."""
+    rows = au._vectors(spark, folder).select("id", F.col("embedding").cast("array<double>").alias("features"))
+    backend = BatchFunctionBackend(rows, lambda m, seed: m[:, :3] * (1.0 if seed is None else 1.0 + seed), lambda m: m[:, 3:5], lambda m: 2 * m[:, :4], lambda df: {"rows": df.count()}, passes=2)
+    return backend, rows.select("id")
+
+
+def backend_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, probs, embedding, grad) as one row of numbers each, and how many rows an epoch saw."""
+    backend, ids = _backend(spark, folder)
+    out = backend.predict_proba(ids).join(backend.get_embeddings(ids), "id").join(backend.compute_gradients(ids), "id")
+    numbers = [F.round(F.get(c, F.lit(i)), 6).alias(f"{c}_{i}") for c, n in (("probs", 3), ("embedding", 2), ("grad", 4)) for i in range(n)]
+    return out.select("id", *numbers, F.lit(backend.train_one_epoch(ids)["rows"]).cast("long").alias("epoch_rows"))
+
+
+def backend_passes(spark: SparkSession, folder: str) -> DataFrame:
+    """The first probability of every pass with dropout."""
+    backend, ids = _backend(spark, folder)
+    return backend.mc_dropout_predict(ids).select("pass", "id", F.round(F.get("probs", F.lit(0)), 6).alias("p"))
+
+
+def loop_of_gradients(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that two rounds of 30 by gradient length ask for."""
+    backend, ids = _backend(spark, folder)
+    loop = ActiveLearningLoop(backend, ids, Strategy("localization", "gradient_norm"), LoopConfig(budget_per_round=30, max_rounds=2))
+    loop.run()
+    return loop.pool.where(F.col("round_added").isNotNull()).select("id", F.col("round_added").alias("round"))
+
+
 # --- vectors as they come
 
 
@@ -270,7 +325,7 @@ QUERIES = {
     for f in (
         coco_scan, folder_tree, folder_imbalance, folder_audit, category_names, image_boxes, image_labels, category_images, subset_counts,
         dataset_summary, check_details, check_tiny_wide, audit_report, label_validation, mislabel_from_probs, unc_ranked, diversity_query,
-        cluster_margin_promises, localization_query, first_pool, loop_rounds, sample_neighbours, sample_scores, sample_mislabels, pool_distances, pool_coreset,
+        dataset_repr, command_line, backend_outputs, backend_passes, loop_of_gradients, cluster_margin_promises, localization_query, first_pool, loop_rounds, sample_neighbours, sample_scores, sample_mislabels, pool_distances, pool_coreset,
     )
 }
 
@@ -379,3 +434,20 @@ ORACLES["audit_report"] = f"""
 select 'annotation_checks' as section, coalesce(issue_type, 'total') as name, n::double as value from {_AUDIT} where issue_type is not null or severity is null
 union all select 'label_quality', name, value from (select * from (select n_samples::double as n_samples, mean_score, flagged_count::double as flagged_count from ({au.ORACLES["lq_summary"]})) unpivot (value for name in (n_samples, mean_score, flagged_count)))
 union all select 'mislabel_detection', name, value from (select * from (select n_samples::double as n_samples, mean_score, flagged_count::double as flagged_count from ({au.ORACLES["mislabel_summary"]})) unpivot (value for name in (n_samples, mean_score, flagged_count)))"""
+
+ORACLES["dataset_repr"] = _W + " select 'Dataset(images=' || (select count(*) from img) || ', categories=' || (select count(*) from cat) || ', annotations=' || (select count(*) from ann) || ')' as text"
+ORACLES["command_line"] = f"""
+with s as (select n from ({au.ORACLES["issue_summary"]}) where issue_type is null and severity is null), d as (select * from ({au.ORACLES["dataset_counts"]}))
+select 'failed' as name, 0::bigint as value union all select 'stats_images', num_images from d union all select 'stats_annotations', num_annotations from d
+union all select 'check_issues', n from s union all select 'report_issues', n from s union all select 'report_sections', 2 union all select 'page_sections', 2
+union all select 'folder_images', count(*) from documents where doc_id % 10 <> 0"""
+_LOGITS = "with v as (select vec_id as id, [cast(x as double) for x in embedding] as v from embeddings)"
+ORACLES["backend_outputs"] = _LOGITS + """
+select id, round(exp(v[1]) / (exp(v[1]) + exp(v[2]) + exp(v[3])), 6) as probs_0, round(exp(v[2]) / (exp(v[1]) + exp(v[2]) + exp(v[3])), 6) as probs_1, round(exp(v[3]) / (exp(v[1]) + exp(v[2]) + exp(v[3])), 6) as probs_2,
+       round(v[4], 6) as embedding_0, round(v[5], 6) as embedding_1, round(2 * v[1], 6) as grad_0, round(2 * v[2], 6) as grad_1, round(2 * v[3], 6) as grad_2, round(2 * v[4], 6) as grad_3, (select count(*) from v) as epoch_rows from v"""
+ORACLES["backend_passes"] = _LOGITS + """
+select cast(t.range as integer) as pass, id, round(exp(v[1] * (1 + t.range)) / (exp(v[1] * (1 + t.range)) + exp(v[2] * (1 + t.range)) + exp(v[3] * (1 + t.range))), 6) as p from v, range(2) t"""
+ORACLES["loop_of_gradients"] = _LOGITS + """,
+f as (select id from v order by md5(id || '-42'), id limit 30),
+o as (select id, row_number() over (order by sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3] + v[4] * v[4]) desc, id desc) - 1 as place from v where id not in (select id from f))
+select id, cast(place // 30 as integer) as round from o where place < 60"""
