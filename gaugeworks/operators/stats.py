@@ -105,8 +105,8 @@ def bbox_statistics(data: Dataset) -> DataFrame:
     mean_area = data.images.agg(F.avg(w * h).alias("_mean"))
     # images are joined after boxes are counted by their values, which also settles crowded images
     boxes = data.annotations.where(finite).select("image_id", b[2].alias("w"), b[3].alias("h")).groupBy("image_id", "w", "h").agg(F.count(F.lit(1)).alias("n"))
-    boxes = boxes.join(data.images.select("image_id"), "image_id", "left_semi").groupBy("w", "h").agg(F.sum("n").alias("n"))
-    boxes = cut_lineage(boxes)  # read by every statistic below; else its scans and joins would run for each
+    boxes = boxes.join(data.images.select("image_id"), "image_id", "left_semi").select("w", "h", "n")
+    boxes = cut_lineage(boxes)  # read twice, for the borders of the slices and for the slices
     area = F.col("w") * F.col("h")
     aspect = F.when(F.col("h") > 0, F.col("w") / F.col("h")).otherwise(0.0)
     measures = boxes.select("n", F.explode(F.create_map(F.lit("area"), area, F.lit("width"), F.col("w"), F.lit("height"), F.col("h"), F.lit("aspect_ratio"), aspect)).alias("measure", "value"))
