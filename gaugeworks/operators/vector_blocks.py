@@ -32,7 +32,7 @@ STRIP = 256
 INNER = 0.7
 #: Classes of a region of inner shells; outer shells, which bounds seldom exclude, fill a tile.
 REGION_CLASSES = 1_024
-#: Radians that angles from codes and float32 pivots are off at most.
+#: Radians that angles are off at most by float32 arithmetic, besides the coding error.
 ANGLE_SLACK = 4e-3
 
 KEY_BYTES, HEAD_BYTES = 16, 8
@@ -325,8 +325,9 @@ def within_bounds(base: DataFrame, looking: DataFrame, pivots, dim: int) -> tupl
     held = context.broadcast(pivots.astype("float32"))
 
     def units(batch):
+        """Decoded vectors, and how far their angles may be off."""
         block = Block(None, batch.column(batch.schema.get_field_index("payload")).to_pylist(), dim)
-        return block.codes * block.scale[:, None]
+        return block.codes * block.scale[:, None], 1.01 * block.error
 
     def place(batches: Iterator) -> Iterator:
         import numpy as np
@@ -337,12 +338,14 @@ def within_bounds(base: DataFrame, looking: DataFrame, pivots, dim: int) -> tupl
                 continue
             cell = batch.column(batch.schema.get_field_index("cells")).to_numpy(zero_copy_only=False)
             cell = np.array([c[0] for c in cell], dtype="int32")
-            cosine = np.einsum("ij,ij->i", units(batch), held.value[cell]).clip(-1, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell * 2 + (cosine < INNER).astype("int32")), pa.array(np.arccos(cosine))], names=[*batch.schema.names, "_shell", "_angle"])
+            unit, off = units(batch)
+            cosine = (np.einsum("ij,ij->i", unit, held.value[cell]) / np.sqrt(np.einsum("ij,ij->i", unit, unit))).clip(-1, 1)
+            angle = np.arccos(cosine)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell * 2 + (cosine < INNER).astype("int32")), pa.array(angle - off), pa.array(angle + off)], names=[*batch.schema.names, "_shell", "_from", "_to"])
 
-    placed = cut_lineage(base.mapInArrow(place, StructType([*base.schema, *StructType.fromDDL("_shell int, _angle double")])))
+    placed = cut_lineage(base.mapInArrow(place, StructType([*base.schema, *StructType.fromDDL("_shell int, _from double, _to double")])))
     # at most two rows for each pivot
-    shells = placed.groupBy("_shell").agg(F.count(F.lit(1)).alias("n"), F.min("_angle").alias("least"), F.max("_angle").alias("most")).collect()
+    shells = placed.groupBy("_shell").agg(F.count(F.lit(1)).alias("n"), F.min("_from").alias("least"), F.max("_to").alias("most")).collect()
     shells.sort(key=lambda r: (r["_shell"] % 2, r["_shell"]))
     region, number, filled, outer = {}, -1, 0, None
     for r in shells:
@@ -363,7 +366,9 @@ def within_bounds(base: DataFrame, looking: DataFrame, pivots, dim: int) -> tupl
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit, reach = units(batch).astype("float32"), batch.column(batch.schema.get_field_index("reach")).to_numpy() + ANGLE_SLACK
+            unit, off = units(batch)
+            unit = (unit / np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]).astype("float32")
+            reach = batch.column(batch.schema.get_field_index("reach")).to_numpy() + off + ANGLE_SLACK
             cells = []
             for s in range(0, len(unit), STRIP):
                 far = np.arccos((unit[s : s + STRIP] @ held.value.T).clip(-1, 1))
