@@ -412,7 +412,7 @@ def crowded(df: DataFrame, ident: str, vector: str, labelled: str, min_neighbour
     centres, groups = summary.dense(), int(summary.n.sum()) // vx.CELL_CLASSES
     pivots = np.concatenate([centres, representatives(df, ident, vector, dim, summary, max(1, groups)) if len(summary.n) else centres[:0]])
     half = float(np.cos(np.arccos(min_similarity) / 2)) + 1e-6
-    coded = vx.code(rows, ident, vector, dim, pivots, 1, keep=["_labelled"], core=(len(centres), half))
+    coded = vx.code(rows, ident, vector, dim, pivots, 1, keep=["_labelled"], core=(len(centres), half), wide=False)
     members = coded.groupBy("c", "id").agg(F.first("payload").alias("payload"), F.first("cells").alias("cells"), F.first("core").alias("core"), F.min("_labelled").alias("_labelled"))
     members = cut_lineage(members)
     # at most one row for each dense entry
