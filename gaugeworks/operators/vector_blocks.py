@@ -28,6 +28,8 @@ MAX_DIRECTIONS = 256
 TILE_CLASSES = 24_576
 #: Rows of a tile multiplied at once.
 STRIP = 256
+#: Values whose products bound the whole product first, and the share of pairs up to which only those left are multiplied.
+HEAD_VALUES, FEW_PAIRS = 24, 0.01
 #: A class with at least this cosine with its pivot is in the inner shell of its cell.
 INNER = 0.7
 #: Classes of a region of inner shells; outer shells, which bounds seldom exclude, fill a tile.
@@ -112,6 +114,14 @@ class Block:
         self.high_error = np.sqrt((rest * rest).sum(axis=1)) + self.error
 
 
+def _head(matrix):
+    """The first HEAD_VALUES columns and the length of the others."""
+    import numpy as np
+
+    rest = matrix[:, HEAD_VALUES:]
+    return np.concatenate([matrix[:, :HEAD_VALUES], np.sqrt(np.einsum("ij,ij->i", rest, rest))[:, None]], axis=1)
+
+
 def _best_of(i, j, value, k: int, room: float):
     """The pairs whose value is at most ``room`` below the k-th largest of their i."""
     import numpy as np
@@ -134,11 +144,28 @@ def tile_pairs(x: Block, y: Block, floor, k: int | None, others: bool = True):
     found = []
     floors = None if floor is None else np.broadcast_to(np.asarray(floor, dtype="float64"), len(x.scale))
     widest = y.high_error.max(initial=0.0)
+    dim = x.rough.shape[1]
+    heads = (_head(x.rough), _head(y.rough)) if floors is not None and dim >= 2 * HEAD_VALUES and len(floors) and floors.min() >= 0.5 else None
     for start in range(0, len(x.scale), STRIP):
         rows = slice(start, start + STRIP)
-        rough = x.rough[rows] @ y.rough.T
         slack = x.high_error[rows].max() * (1 + widest) + widest + 2e-5
         least = None if floor is None else (floors[rows] - slack).astype("float32")[:, None]
+        if heads is not None:
+            # by Cauchy-Schwarz the rest of a product is at most the product of the rests' lengths
+            i, j = np.nonzero(heads[0][rows] @ heads[1].T >= least - np.float32(1e-5))
+            if len(i) <= FEW_PAIRS * len(least) * len(y.scale):
+                value = np.concatenate([np.einsum("ij,ij->i", x.rough[start + i[s : s + 65_536]], y.rough[j[s : s + 65_536]]) for s in range(0, len(i), 65_536)]) if len(i) else np.empty(0, "float32")
+                keep = value >= least[i, 0]
+                i, j = i[keep], j[keep]
+                if k is not None and len(i):
+                    i, j = _best_of(i, j, value[keep], k + 1, 2 * slack)
+                i = i + start
+                if others:
+                    apart = x.ids[i] != y.ids[j]
+                    i, j = i[apart], j[apart]
+                found.append((i, j))
+                continue
+        rough = x.rough[rows] @ y.rough.T
         above = None if floor is None else rough >= least
         if k is None:
             i, j = np.nonzero(above) if above is not None else (a.ravel() for a in np.indices(rough.shape))

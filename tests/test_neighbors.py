@@ -102,3 +102,23 @@ def test_cells_are_divided_only_beyond_the_pivots(points):
     assert vx.directions(u[:30], 30 * 2 * vx.CELL_CLASSES - 1) is None
     turned, step = vx.directions(u[:30], 30 * 5 * vx.CELL_CLASSES)
     assert turned.shape == (5, DIM) and np.allclose((turned**2).sum(axis=1), 1) and step > 0
+
+
+@pytest.mark.parametrize("few", [0.01, 1.0, 0.0])
+@pytest.mark.parametrize("wide", [True, False])
+def test_first_values_bound_products(monkeypatch, wide, few):
+    monkeypatch.setattr(vx, "FEW_PAIRS", few)
+    rng = np.random.default_rng(9)
+    u = np.concatenate([rng.normal(size=(600, 64)), np.repeat(rng.normal(size=(30, 64)), 10, axis=0) + rng.normal(size=(300, 64)) * rng.choice([0.05, 0.3], 300)[:, None]])
+    u[:40, 24:] = 0
+    u[40:80, :24] = 0
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    b = vx.Block(np.arange(len(u)), [p.tobytes() for p in vx.encode(u, wide)], 64)
+    i, j, sims, bound = vx.tile_pairs(b, b, 0.9, None)
+    assert (np.abs(sims - s[i, j]) <= bound).all() and set(zip(*np.nonzero(s >= 0.9))) <= set(zip(i.tolist(), j.tolist()))
+    i, j, _, _ = vx.tile_pairs(b, b, 0.9, 3)
+    for a in range(len(u)):
+        assert set(np.flatnonzero((s[a] > np.sort(s[a])[-3] + 1e-9) & (s[a] >= 0.9)).tolist()) <= set(j[i == a].tolist())
+    assert len(vx.tile_pairs(b, b, 0.9, 3, others=False)[0]) >= len(u)
