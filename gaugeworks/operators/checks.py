@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.expr import box, iou
+from gaugeworks.functions.expr import box
 from gaugeworks.functions.plans import broadcast_if_small, join_crowded
+from gaugeworks.session import cut_lineage
 from gaugeworks.sources.coco import Dataset
 
 COLUMNS = ("image_id", "ann_id", "issue_type", "severity", "details", "partner_id", "iou")
@@ -41,14 +46,21 @@ def simple_issues(data: Dataset, min_bbox_area: float = 4.0) -> DataFrame:
     return rows.select("image_id", "ann_id", issues.alias("_i")).select("image_id", "ann_id", "_i.*", F.lit(None).cast("long").alias("partner_id"), F.lit(None).cast("double").alias("iou"))
 
 
-def overlapping_pairs(annotations: DataFrame, min_iou: float) -> DataFrame:
+#: Boxes on one image from which its boxes are spread over stripes; boxes that a worker compares at once; pairs it looks at in one step.
+CROWDED, BUCKET, STEP = 2048, 50_000, 1_000_000
+_PAIRS = "image_id long, category_id long, ann_id long, partner_id long, iou double"
+
+
+def overlapping_pairs(annotations: DataFrame, min_iou: float, crowded: int = CROWDED) -> DataFrame:
     """(image_id, category_id, ann_id, partner_id, iou) of boxes of one image and category with IoU >= min_iou, 0 < min_iou <= 1.
 
     Such boxes differ little in size and place: widths and heights by a factor of
-    1 / min_iou at most, corners by 1 - min_iou of the larger side. So the equi join also
-    takes octaves of both sizes and a grid as wide as the octave, in which only the first
-    box is repeated, twice or so at 0.85 and more the lower ``min_iou``. A crowded image is spread over its cells; no two boxes
-    that lie apart are ever compared. The pair's first box is the one of lower ``ord``.
+    1 / min_iou at most, corners by 1 - min_iou of the larger side. So of a pair the left
+    box looks for the right one at most that far to its right, and a worker needs to see
+    only the boxes of one image and category; those of images with more than ``crowded``
+    boxes only of one octave of widths and one stripe as wide, in which left boxes are
+    repeated. Inside, boxes are sorted by y and only a range of them is compared. The
+    pair's first box is the one of lower ``ord``.
     Left out are boxes with a value that is null, not finite or of 1e15 and more in size,
     or with a side of 1e-9 or less.
     """
@@ -59,28 +71,103 @@ def overlapping_pairs(annotations: DataFrame, min_iou: float) -> DataFrame:
     for v in (x, y, w, h):
         finite = finite & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e15)
     boxes = annotations.where(finite & (w > 1e-9) & (h > 1e-9) & F.col("image_id").isNotNull() & F.col("category_id").isNotNull())
-    boxes = boxes.select("image_id", "category_id", "ann_id", "ord", "bbox", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+    boxes = boxes.select("image_id", "category_id", "ann_id", "ord", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+
+    near = 1 / min_iou * (1 + 1e-9)
 
     def octave(v: Column) -> Column:
         return F.floor(F.log2(v)).cast("int")
 
     def cell(v: Column, size: Column) -> Column:
-        return F.floor(v / F.pow(F.lit(2.0), size + 1)).cast("long")
-
-    slack = 1 + 1e-9
-    near = 1 / min_iou * slack
-    a = boxes.select("image_id", "category_id", F.col("ann_id").alias("a_id"), F.col("ord").alias("a_ord"), F.col("bbox").alias("a_box"), "x", "y", "w", "h")
-    for side, at in (("w", "x"), ("h", "y")):
-        a = a.withColumn(f"k{side}", F.explode(F.sequence(octave(F.col(side) / near), octave(F.col(side) * near))))
-        # the overlap is min_iou of the larger side at least, so the partner begins at most this far before or after
-        room = 1 - min_iou + 1e-9
-        before = F.least(F.col(side) * near, F.pow(F.lit(2.0), F.col(f"k{side}") + 1)) * room
-        after = F.col(side) * room
-        a = a.withColumn(f"c{side}", F.explode(F.sequence(cell(F.col(at) - before, F.col(f"k{side}")), cell(F.col(at) + after, F.col(f"k{side}")))))
-    b = boxes.select("image_id", "category_id", F.col("ann_id").alias("b_id"), F.col("ord").alias("b_ord"), F.col("bbox").alias("b_box"), octave(F.col("w")).alias("kw"), octave(F.col("h")).alias("kh"), "x", "y")
-    b = b.withColumn("cw", cell(F.col("x"), F.col("kw"))).withColumn("ch", cell(F.col("y"), F.col("kh"))).drop("x", "y")
-    met = a.drop("x", "y", "w", "h").join(b, ["image_id", "category_id", "kw", "kh", "cw", "ch"]).where((F.col("a_ord") < F.col("b_ord")))
-    return met.withColumn("iou", iou("a_box", "b_box")).where(F.col("iou") >= min_iou).select("image_id", "category_id", F.col("a_id").alias("ann_id"), F.col("b_id").alias("partner_id"), "iou")
+        return F.floor(v / F.pow(F.lit(2.0), size)).cast("long")
+
+    def stripe(k: Column, c: Column, own: Column) -> Column:
+        return F.struct(k.alias("k"), c.alias("c"), own.alias("own"))
+
+    kw = octave(F.col("w"))
+    own = cell(F.col("x"), kw)
+    end = F.col("x") + F.col("w") * (1 - min_iou + 1e-9)
+    stripes = F.flatten(F.transform(F.sequence(octave(F.col("w") / near), octave(F.col("w") * near)), lambda k: F.transform(F.sequence(cell(F.col("x"), k), cell(end, k)), lambda c: stripe(k, c, (k == kw) & (c == own)))))
+    # at most one in ``crowded`` rows, written once; counted without boxes, so that redelivered rows are told apart by a hash
+    many = cut_lineage(annotations.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowded).select("image_id", F.lit(True).alias("_many")))
+    marked = boxes.join(broadcast_if_small(many), "image_id", "left")
+    whole = F.array(stripe(F.lit(0), F.lit(0).cast("long"), F.lit(True)))
+    spread = marked.withColumn("_s", F.explode(F.when(F.col("_many"), stripes).otherwise(whole))).select("image_id", "category_id", "ann_id", "ord", "x", "y", "w", "h", "_s.*")
+    buckets = spread.withColumn("_b", F.pmod(F.xxhash64("image_id", "category_id", "k", "c"), F.lit(1 << 20))).repartition("_b").sortWithinPartitions("_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if rows + batch.num_rows > BUCKET and batch.num_rows:
+                # what follows the last change of bucket waits for the next batch
+                b = batch.column("_b").to_numpy()
+                changes = np.flatnonzero(b[1:] != b[:-1]) + 1
+                if held and held[-1].column("_b")[-1].as_py() != b[0]:
+                    changes = np.append(0, changes)
+                if len(changes):
+                    yield from _overlaps(pa.Table.from_batches([*held, batch.slice(0, changes[-1])]), min_iou)
+                    held, rows, batch = [], 0, batch.slice(changes[-1])
+            held.append(batch)
+            rows += batch.num_rows
+        if rows:
+            yield from _overlaps(pa.Table.from_batches(held), min_iou)
+
+    return buckets.mapInArrow(compare, _PAIRS)
+
+
+def _overlaps(rows: pa.Table, min_iou: float) -> Iterator[pa.RecordBatch]:
+    """The pairs among rows of the same image, category and stripe whose right box is in its own stripe."""
+    if rows.num_rows < 2:
+        return
+    image, category, order, k, c, own, x, y, w, h = (rows.column(n).to_numpy() for n in ("image_id", "category_id", "ord", "k", "c", "own", "x", "y", "w", "h"))
+    by = np.lexsort((y, c, k, category, image))
+    change = np.zeros(len(by), bool)
+    for v in (image, category, k, c):
+        s = v[by]
+        change[1:] |= s[1:] != s[:-1]
+    group = np.cumsum(change)
+    alone = np.bincount(group)[group] < 2
+    by, group = by[~alone], group[~alone]
+    right = own[by]
+    b, b_group = by[right], group[right]
+    if not len(b):
+        return
+    # places of y among all, so that one number has group and place
+    level = np.sort(y[b])
+    n = len(b) + 1
+    key = b_group * n + np.searchsorted(level, y[b], "left")
+    room, slack = 1 - min_iou + 1e-9, 1e-15 * np.abs(y[by])
+    begin = np.searchsorted(key, group * n + np.searchsorted(level, y[by] - h[by] * (room / min_iou) - slack, "left"), "left")
+    count = np.searchsorted(key, group * n + np.searchsorted(level, y[by] + h[by] * room + slack, "right"), "left") - begin
+    reach = x + w * room + 1e-15 * np.abs(x)
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(by):
+        before = upto[at - 1] if at else 0
+        # one row's range may be longer than a step, never longer than the rows
+        to = max(at + 1, int(np.searchsorted(upto, before + STEP, "right")))
+        reps = count[at:to]
+        left = np.repeat(by[at:to], reps)
+        second = b[np.arange(len(left)) - np.repeat(upto[at:to] - reps - before, reps) + np.repeat(begin[at:to], reps)]
+        ax, bx = x[left], x[second]
+        good = (bx >= ax) & (bx <= reach[left])
+        left, second, ax, bx = left[good], second[good], ax[good], bx[good]
+        # of two boxes that begin at one x, the one of lower order is the left one
+        good = (ax < bx) | (order[left] < order[second])
+        left, second = left[good], second[good]
+        ax, ay, aw, ah, bx, by_, bw, bh = x[left], y[left], w[left], h[left], x[second], y[second], w[second], h[second]
+        iw = np.maximum(np.minimum(ax + aw, bx + bw) - np.maximum(ax, bx), 0.0)
+        ih = np.maximum(np.minimum(ay + ah, by_ + bh) - np.maximum(ay, by_), 0.0)
+        iou = iw * ih / (aw * ah + bw * bh - iw * ih)
+        good = np.flatnonzero(iou >= min_iou)
+        if len(good):
+            left, second = left[good], second[good]
+            swap = order[left] > order[second]
+            first, other = np.where(swap, second, left), np.where(swap, left, second)
+            ids = rows.column("ann_id").combine_chunks()
+            columns = [pa.array(image[left]), pa.array(category[left]), ids.take(pa.array(first)), ids.take(pa.array(other)), pa.array(iou[good])]
+            yield pa.RecordBatch.from_arrays(columns, names=["image_id", "category_id", "ann_id", "partner_id", "iou"])
+        at = to
 
 
 def near_duplicates(data: Dataset, max_overlap_iou: float = 0.85) -> DataFrame:

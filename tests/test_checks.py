@@ -92,3 +92,28 @@ def test_streamed_checks_equal_batch(spark, tmp_path):
     q.stop()
     got = sorted((r["ann_id"], r["issue_type"]) for r in spark.table("issues").collect())
     assert got == kinds(data) == [(0, "out_of_bounds"), (1, "missing_bbox"), (1, "unknown_category")]
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.85, 1.0])
+def test_overlaps_on_crowded_images_match_brute_force(spark, least):
+    rng = random.Random(8)
+    rows = []
+    for n in range(500):
+        if rows and rng.random() < 0.6:
+            b = [v + rng.uniform(-3, 3) * (rng.random() < 0.5) for v in rng.choice(rows)[3]]
+        else:
+            b = [rng.uniform(-50, 200), rng.uniform(-50, 200), rng.uniform(0.5, 120), rng.uniform(0.5, 120)]
+        rows.append((n, rng.choice([1, 1, 1, 2]), rng.choice([1, 2]), b))
+    df = spark.createDataFrame([(n, i, c, b, None, 0, 500 - n) for n, i, c, b in rows], ANN)
+    got = [(r["partner_id"], r["ann_id"]) for r in ck.overlapping_pairs(df, least, crowded=150).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, least)
+
+
+def test_boxes_of_a_crowded_image_are_not_repeated_for_each_size(spark):
+    # the rows that are shuffled: at 0.5 each box was sent to some thirty cells
+    rng = random.Random(2)
+    rows = [(n, n // 5, 1, [rng.uniform(0, 900), rng.uniform(0, 900), rng.uniform(20, 90), rng.uniform(20, 90)], None, 0, n) for n in range(1000)]
+    pairs = ck.overlapping_pairs(spark.createDataFrame(rows, ANN), 0.5)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan
