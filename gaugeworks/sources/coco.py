@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from gaugeworks.session import cut_lineage
+from gaugeworks.session import cut_lineage, scratch_folder
+from gaugeworks.sources.elements import elements, splittable
 from gaugeworks.sources.images import decode_rgb
 
 SCHEMA = """
@@ -136,12 +137,21 @@ def _last(df: DataFrame, key: str) -> DataFrame:
 def read_coco(spark: SparkSession, path: str, image_root: str | None = None) -> Dataset:
     """Reads one annotation document; of several images or categories with one id the last counts.
 
-    The document is parsed once, by one task; its rows are then written and spread.
+    A document that is one file in UTF-8 is cut into its elements by many tasks, so none
+    holds more than one of them at a time; others (compressed, folders, other encodings)
+    are parsed by one task. The rows are then written and spread.
 
     Raises when the file is missing or is no JSON document.
     """
-    raw = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    rows = cut_lineage(raw.select(F.explode(F.concat(*[_tagged(name) for name in _PARTS])).alias("_r")).select("_r.*").repartition(spark.sparkContext.defaultParallelism))
+    if splittable(spark, path):
+        texts = elements(spark, path, tuple(_PARTS))
+        kinds = {f.name: f.dataType.elementType for f in StructType.fromDDL(SCHEMA).fields}
+        parsed = texts.select("part", "ord", *[F.when(F.col("part") == name, F.from_json("text", kinds[name], {"mode": "FAILFAST"})).alias(f"_{name}") for name in _PARTS])
+        fields = [F.col(f"_{name}.{f}").alias(f) for name, names in _PARTS.items() for f in names]
+        rows = cut_lineage(parsed.select("part", F.coalesce(*[F.col(f"_{name}.id") for name in _PARTS]).alias("id"), "ord", *fields))
+    else:
+        raw = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        rows = cut_lineage(raw.select(F.explode(F.concat(*[_tagged(name) for name in _PARTS])).alias("_r")).select("_r.*").repartition(spark.sparkContext.defaultParallelism))
 
     def part(name: str, key: str) -> DataFrame:
         return rows.where(F.col("part") == name).select(F.col("id").alias(key), *_PARTS[name], "ord")
@@ -165,27 +175,31 @@ def _tagged(name: str) -> Column:
 
 
 def write_coco(data: Dataset, path: str) -> None:
-    """Writes one annotation document, streamed through the driver in the order of ``ord``, as a document is a single file."""
+    """Writes one annotation document in the order of ``ord``: tasks write its rows, the driver's JVM copies their files into one, as a document is a single file."""
     spark = data.images.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, place = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    files = place.getFileSystem(conf)
+    out = target.getFileSystem(conf).create(target, True)
     keys = {"images": "image_id", "categories": "category_id", "annotations": "ann_id"}
     try:
         for n, (part, fields) in enumerate(_PARTS.items()):
             out.write(bytearray((f'{{"{part}":[' if n == 0 else f'],"{part}":[').encode()))
             row = F.to_json(F.struct(F.col(keys[part]).alias("id"), *fields))
-            held: list[str] = []
-            first = True
-            for r in getattr(data, part).orderBy("ord").select(row.alias("r")).toLocalIterator():
-                held.append(r["r"])
-                if len(held) == 5000:
-                    out.write(bytearray((("" if first else ",\n") + ",\n".join(held)).encode()))
-                    held, first = [], False
-            if held:
-                out.write(bytearray((("" if first else ",\n") + ",\n".join(held)).encode()))
+            getattr(data, part).orderBy("ord").select(row.alias("r")).write.option("lineSep", ",\n").option("compression", "none").text(place.toString())
+            written = sorted((f.getPath().getName(), f.getLen(), f.getPath()) for f in files.listStatus(place) if f.getPath().getName().startswith("part-") and f.getLen())
+            for i, (_, size, file) in enumerate(written):
+                rows = files.open(file)
+                try:
+                    # no comma after the last row
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(rows, out, size - 2 * (i == len(written) - 1), False)
+                finally:
+                    rows.close()
+            files.delete(place, True)
         out.write(bytearray(b"]}"))
     finally:
         out.close()
+        files.delete(place, True)
 
 
 def from_tables(images: DataFrame, categories: DataFrame, annotations: DataFrame) -> Dataset:

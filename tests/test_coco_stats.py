@@ -215,3 +215,27 @@ def test_tables_keep_one_row_per_id(spark):
     assert data.counts().first().asDict() == {"num_images": 1, "num_categories": 1, "num_annotations": 1}
     assert data.images.first()["file_name"] == "y"
     assert math.isfinite(st.annotations_per_image(data).first()["mean"])
+
+
+def test_document_is_cut_by_many_tasks(spark, tmp_path):
+    # nested elements, braces and quotes inside strings, other arrays and objects, in any form
+    images = [{"id": n, "file_name": f'a}}{{[{n}]\\"}}.png' * (1 + n % 3), "width": n} for n in range(300)]
+    annotations = [{"id": n, "image_id": n // 2, "category_id": 1, "segmentation": {"counts": [1, {"x": "}"}], "size": [2, 3]} if n % 4 == 0 else [[1.0, 2.0]], "bbox": [0.5, 1, 2, n]} for n in range(700)]
+    doc = {"info": {"images": [{"id": -1}], "by": {"name": "x}"}}, "licenses": [{"id": 5, "annotations": [{"id": -2}]}], "annotations": annotations, "images": images, "categories": [{"id": 1, "name": "é"}]}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("3000", "20000", "1000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            for name, text in (("flat", json.dumps(doc)), ("wide", json.dumps(doc, indent=2) + "\n")):
+                if size == "3000" and name == "wide":
+                    continue
+                (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+                data = read_coco(spark, str(tmp_path / f"{name}.json"))
+                assert [tuple(r) for r in data.annotations.orderBy("ord").select("ord", "ann_id", "image_id", "bbox").collect()] == [(a["id"], a["id"], a["image_id"], a["bbox"]) for a in annotations]
+                assert [tuple(r) for r in data.images.orderBy("ord").select("ord", "image_id", "file_name").collect()] == [(i["id"], i["id"], i["file_name"]) for i in images]
+                assert [r["name"] for r in data.categories.collect()] == ["é"]
+                assert size == "1000000" or data.annotations.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
