@@ -117,3 +117,12 @@ def test_boxes_of_a_crowded_image_are_not_repeated_for_each_size(spark):
     pairs.collect()
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "SortMergeJoin" not in plan
+
+
+def test_near_duplicates_join_no_grid_of_cells(spark):
+    # of a pair either box may be the left one; the plan joins images only, not boxes with boxes
+    boxes = [[10.0, 10.0, 50.0, 50.0], [8.0, 11.0, 50.0, 50.0], [10.0, 10.0, 50.0, 50.0], [200.0, 10.0, 50.0, 50.0], [float("nan"), 1.0, 2.0, 2.0]]
+    data = dataset(spark, [(1, 400, 400)], [(1, "a")], [(1, 1, b) for b in boxes] + [(2, 1, boxes[0]), (2, 1, boxes[0])])
+    found = ck.near_duplicates(data, 0.85)
+    assert sorted((r["ann_id"], r["partner_id"]) for r in found.collect()) == [(0, 1), (0, 2), (1, 2)]
+    assert "explode(sequence" not in found._jdf.queryExecution().optimizedPlan().toString()
