@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.operators import checks, label_quality, mislabel, stats
+from gaugeworks.session import cut_lineage
 from gaugeworks.sources import folders
 from gaugeworks.sources.coco import Dataset, read_coco
 from gaugeworks.sources.report import Report
@@ -17,12 +18,14 @@ def persisted(data: Dataset) -> Dataset:
 
 
 def dataset_section(data: Dataset, tail_percentile: float) -> dict:
-    counts = stats.class_counts(data)
-    out = stats.summary(data)
-    out["tail_categories"] = [r["name"] for r in stats.tail_categories(counts, tail_percentile).collect()]
-    out["annotation_density"] = {r["name"]: r["density"] for r in stats.annotation_density(data).collect()}
-    out["image_size_statistics"] = {r["measure"]: {k: v for k, v in r.asDict().items() if k != "measure"} for r in stats.image_size_statistics(data).collect()} or {"note": "no image sizes"}
-    return out
+    counts = cut_lineage(stats.class_counts(data))
+    out, tail, density, sizes = stats.together(
+        lambda: stats.summary(data, counts=counts),
+        lambda: [r["name"] for r in stats.tail_categories(counts, tail_percentile).collect()],
+        lambda: {r["name"]: r["density"] for r in stats.annotation_density(data).collect()},
+        lambda: {r["measure"]: {k: v for k, v in r.asDict().items() if k != "measure"} for r in stats.image_size_statistics(data).collect()},
+    )
+    return {**out, "tail_categories": tail, "annotation_density": density, "image_size_statistics": sizes or {"note": "no image sizes"}}
 
 
 def long_tail_report(data: Dataset, percentile: float = 10.0) -> dict:

@@ -70,3 +70,14 @@ def test_recipes_and_commands(spark, coco_file, tmp_path, capsys):
     assert "Most frequent classes" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["--version"])
+
+
+def test_section_counts_classes_once(spark, coco_file, monkeypatch):
+    from gaugeworks.operators import stats
+    from gaugeworks.plans.recipes import dataset_section
+    from gaugeworks.sources.coco import read_coco
+
+    calls, count = [], stats.class_counts
+    monkeypatch.setattr(stats, "class_counts", lambda data: calls.append(1) or count(data))
+    out = dataset_section(read_coco(spark, coco_file), 10.0)
+    assert len(calls) == 1 and sum(r["n"] for r in out["class_distribution"]) == out["num_annotations"]
