@@ -14,17 +14,22 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def join_crowded(left: DataFrame, right: DataFrame, key: str, share: float = 0.005) -> DataFrame:
-    """Inner join on one key of which a few values may hold most rows of ``left``; ``right`` has each key once.
+def crowded_keys(df: DataFrame, key: str, share: float = 0.005) -> list:
+    """The values of ``key`` with at least ``share`` of the rows of ``df``, at most 1 / share."""
+    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    whole = per.agg(F.sum("_n").alias("_all"))
+    return [r[0] for r in per.crossJoin(F.broadcast(whole)).where(F.col(key).isNotNull() & (F.col("_n") >= F.col("_all") * share)).select(key).collect()]  # one row
+
 
-    Keys with at least ``share`` of the rows of ``left`` are at most 1 / share; their rows
-    of ``right`` are sent to all tasks, so they stay where they are. The rest is shuffled.
-    Null keys join nothing.
+def join_crowded(left: DataFrame, right: DataFrame, key: str, how: str = "inner", crowded: list | None = None) -> DataFrame:
+    """Inner or left_semi join on one key of which a few values may hold most rows of ``left``; ``right`` has each key once.
+
+    ``crowded`` are the ``crowded_keys`` of ``left``, counted at once if not given; their
+    rows of ``right`` are sent to all tasks, so they stay where they are. The rest is
+    shuffled. Null keys join nothing.
     """
-    per = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    whole = per.agg(F.sum("_n").alias("_all"))
-    crowded = per.crossJoin(F.broadcast(whole)).where(F.col(key).isNotNull() & (F.col("_n") >= F.col("_all") * share)).select(key, F.lit(True).alias("_crowded"))  # one row
-    marked = left.join(F.broadcast(crowded), key, "left")
-    few = right.join(F.broadcast(crowded.select(key)), key, "left_semi")
-    hot = marked.where("_crowded").drop("_crowded").join(F.broadcast(few), key)
-    return marked.where(F.col("_crowded").isNull()).drop("_crowded").join(right, key).unionByName(hot)
+    crowded = crowded_keys(left, key) if crowded is None else crowded
+    if not crowded:
+        return left.join(right, key, how)
+    hot = F.col(key).isin(crowded)
+    return left.where(~hot).join(right, key, how).unionByName(left.where(hot).join(F.broadcast(right.where(hot)), key, how))

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from gaugeworks.functions.plans import broadcast_if_small
-from gaugeworks.operators.hot_keys import slice_percentiles, value_slices, weighted_percentiles
+from gaugeworks.functions.plans import broadcast_if_small, crowded_keys, join_crowded
+from gaugeworks.operators.hot_keys import near_ranks, weighted_percentiles
 from gaugeworks.session import cut_lineage
 from gaugeworks.sources.coco import Dataset
 
@@ -101,8 +101,8 @@ def bbox_statistics(data: Dataset) -> DataFrame:
 
     Boxes of known images with four values that are all finite; aspect is 0 where the
     height is not positive; relative area is against the mean area of all images, null and
-    zero sizes counting as 1. Percentiles are exact: equal values are counted once, sorted
-    slices give the ranks. No rows without boxes.
+    zero sizes counting as 1. Percentiles are exact: values are counted by
+    buckets, those of the buckets that hold the ranks are sorted. No rows without boxes.
     """
     b = [F.get("bbox", F.lit(i)) for i in range(4)]
     finite = F.size("bbox") == 4
@@ -110,17 +110,16 @@ def bbox_statistics(data: Dataset) -> DataFrame:
         finite = finite & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     w, h = _sides()
     mean_area = data.images.agg(F.avg(w * h).alias("_mean"))
-    # images are joined after boxes are counted by their values, which also settles crowded images
-    boxes = data.annotations.where(finite).select("image_id", b[2].alias("w"), b[3].alias("h")).groupBy("image_id", "w", "h").agg(F.count(F.lit(1)).alias("n"))
-    boxes = boxes.join(data.images.select("image_id"), "image_id", "left_semi").select("w", "h", "n")
-    boxes = cut_lineage(boxes)  # read twice, for the borders of the slices and for the slices
+    boxes = data.annotations.where(finite).select("image_id", b[2].alias("w"), b[3].alias("h"))
+    boxes = join_crowded(boxes, data.images.select("image_id"), "image_id", "left_semi", crowded_keys(data.annotations, "image_id")).select("w", "h")
+    boxes = cut_lineage(boxes)  # read twice, for the buckets and for the values of the wanted ones
     area = F.col("w") * F.col("h")
     aspect = F.when(F.col("h") > 0, F.col("w") / F.col("h")).otherwise(0.0)
-    measures = boxes.select("n", F.explode(F.create_map(F.lit("area"), area, F.lit("width"), F.col("w"), F.lit("height"), F.col("h"), F.lit("aspect_ratio"), aspect)).alias("measure", "value"))
-    # all statistics are taken from the slices, so equal values are counted and sorted once
-    sliced = value_slices(measures.groupBy("measure", "value").agg(F.sum("n").alias("n")), ["measure"], "value")
-    simple = sliced.groupBy("measure").agg(F.sum("n").alias("_n"), F.min("value").alias("min"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.max("value").alias("max"))
-    exact = slice_percentiles(sliced, ["measure"], "value", [q for q, _ in _SUMMARY])
+    measures = boxes.select(F.explode(F.create_map(F.lit("area"), area, F.lit("width"), F.col("w"), F.lit("height"), F.col("h"), F.lit("aspect_ratio"), aspect)).alias("measure", "value"))
+    fractions = [q for q, _ in _SUMMARY]
+    buckets, compressed = near_ranks(measures, ["measure"], "value", fractions)
+    simple = buckets.groupBy("measure").agg(F.sum("n").alias("_n"), F.min("min").alias("min"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("max").alias("max"))
+    exact = weighted_percentiles(compressed, ["measure"], "value", fractions)
     wide = exact.groupBy("measure").agg(*[F.max(F.when(F.abs(F.col("fraction") - q) < 1e-9, F.col("percentile"))).alias(n) for q, n in _SUMMARY])
     values = ["min", "p25", "median", "mean", "p75", "p95", "max"]
     out = simple.join(wide, "measure").select("measure", F.col("_n").alias("n"), *values).crossJoin(F.broadcast(mean_area))  # one row

@@ -239,3 +239,21 @@ def test_document_is_cut_by_many_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_box_percentiles_sort_few_of_the_values(spark, monkeypatch):
+    from gaugeworks.operators import hot_keys
+
+    sorted_rows, slices = [], hot_keys.value_slices
+    monkeypatch.setattr(hot_keys, "value_slices", lambda df, *rest: sorted_rows.append(df.count()) or slices(df, *rest))
+    sides = np.random.default_rng(1).uniform(0.5, 900, (1500, 2))
+    # image 1 is crowded, image 9 has no row
+    boxes = [(i, 9 if i % 10 == 0 else 1 + i % 40 if i % 3 == 0 else 1, 1, [0.0, 0.0, float(w), float(h)], i) for i, (w, h) in enumerate(sides)]
+    images = spark.createDataFrame([(i, "f", 100, 100, i) for i in range(1, 41) if i != 9], "image_id long, file_name string, width long, height long, ord long")
+    annotations = spark.createDataFrame(boxes, "ann_id long, image_id long, category_id long, bbox array<double>, ord long")
+    got = {r["measure"]: r for r in st.bbox_statistics(Dataset(images, images, annotations)).collect()}
+    kept = np.array([b[3][2:] for b in boxes if b[1] != 9])
+    for name, values in (("width", kept[:, 0]), ("height", kept[:, 1]), ("area", kept.prod(axis=1)), ("aspect_ratio", kept[:, 0] / kept[:, 1])):
+        assert got[name]["n"] == len(kept) and got[name]["mean"] == pytest.approx(values.mean())
+        assert [got[name][p] for p in ("min", "p25", "median", "p75", "p95", "max")] == pytest.approx(np.percentile(values, [0, 25, 50, 75, 95, 100]))
+    assert sorted_rows and sorted_rows[0] < 4 * len(kept) / 2  # of four measures

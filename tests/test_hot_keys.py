@@ -53,3 +53,17 @@ def test_empty_and_clashing_columns(spark):
     assert hk.weighted_percentiles(c, ["k"], "v", (0.5,)).count() == 0
     full = spark.createDataFrame([(1, 5, "x", "y"), (1, 7, "x", "y")], empty.schema)
     assert hk.weighted_percentiles(hk.compress_values(full, ["k"], "v"), ["k"], "v", (0.5,)).first()["percentile"] == 6.0
+
+
+def test_near_ranks_keep_the_percentiles_and_few_values(spark):
+    rng = np.random.default_rng(4)
+    values = [*rng.lognormal(3, 2, 300).tolist(), *(-rng.lognormal(0, 3, 300)).tolist(), *[0.0, -0.0, 7.5, 7.5] * 20, 1e-320, -1e-320, 1e308]
+    rows = [("a", v) for v in values] + [("b", 2.0), ("b", 9.0), ("c", 5.0), ("c", float("inf")), ("b", None), (None, 1.0)]
+    fractions = [0.0, 0.25, 0.5, 0.95, 1.0]
+    buckets, compressed = hk.near_ranks(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", fractions)
+    got = {(r["k"], r["fraction"]): r["percentile"] for r in hk.weighted_percentiles(compressed, ["k"], "v", fractions).collect()}
+    assert [got["a", q] for q in fractions] == pytest.approx(np.percentile(values, [100 * q for q in fractions]))
+    assert (got["b", 0.0], got["b", 0.5], got["b", 1.0], got["c", 0.0]) == (2.0, 5.5, 9.0, 5.0) and len(got) == 15
+    whole = {r["k"]: r for r in buckets.groupBy("k").agg(F.sum("n").alias("n"), F.min("min").alias("lo"), F.max("max").alias("hi")).collect()}
+    assert set(whole) == {"a", "b", "c"} and (whole["a"]["n"], whole["a"]["lo"], whole["a"]["hi"]) == (len(values), min(values), max(values)) and whole["b"]["n"] == 2 and whole["c"]["hi"] == float("inf")
+    assert compressed.where("k = 'a'").agg(F.sum("n")).first()[0] == len(values)
