@@ -17,8 +17,8 @@ def persisted(data: Dataset) -> Dataset:
     return Dataset(data.images.persist(), data.categories.persist(), data.annotations.persist(), data.image_root)
 
 
-def dataset_section(data: Dataset, tail_percentile: float, counts: DataFrame | None = None) -> dict:
-    counts = cut_lineage(stats.class_counts(data)) if counts is None else counts
+def dataset_section(data: Dataset, tail_percentile: float) -> dict:
+    counts = cut_lineage(stats.class_counts(data))
     out, tail, density, sizes = stats.together(
         lambda: stats.summary(data, counts=counts),
         lambda: [r["name"] for r in stats.tail_categories(counts, tail_percentile).collect()],
@@ -43,41 +43,25 @@ def audit(data: Dataset, name: str = "dataset", *, min_bbox_area: float = 4.0, m
     # no section needs areas and crowd flags
     data = persisted(Dataset(data.images, data.categories, data.annotations.drop("area", "iscrowd"), data.image_root))
 
-    def of_annotations() -> dict:
-        counts = cut_lineage(stats.class_counts(data))  # stores the annotations, before several need them at once
-        statistics, found = stats.together(lambda: dataset_section(data, tail_percentile, counts), annotation_checks)
-        return {"dataset_statistics": statistics, "annotation_checks": found}
-
-    def annotation_checks() -> dict:
-        issues = checks.all_issues(data, min_bbox_area, max_overlap_iou).persist()
-        found = checks.check_report(issues)
-        issues.unpersist()
-        return found
-
-    def quality() -> dict:
-        if probabilities is None:
-            return {}
+    report = Report(name)
+    # one section after another: plans of all of them at once take the driver's memory
+    report.add("dataset_statistics", dataset_section(data, tail_percentile))
+    issues = checks.all_issues(data, min_bbox_area, max_overlap_iou).persist()
+    report.add("annotation_checks", checks.check_report(issues))
+    for df in (issues, data.images, data.categories, data.annotations):
+        df.unpersist()
+    if probabilities is not None:
         n = label_quality.validate(probabilities)
-        out = label_quality.quality_summary(probabilities, n).first().asDict()
-        return {"label_quality": {**out, "top_issues": [r.asDict() for r in label_quality.ranked_issues(probabilities, top_k=50).collect()]}}
-
-    def mislabels() -> dict:
-        if embeddings is None:
-            return {}
+        quality = label_quality.quality_summary(probabilities, n).first().asDict()
+        quality["top_issues"] = [r.asDict() for r in label_quality.ranked_issues(probabilities, top_k=50).collect()]
+        report.add("label_quality", quality)
+    if embeddings is not None:
         detector = mislabel.MislabelDetector(embeddings)
-        out = detector.summary()
+        report.add("mislabel_detection", detector.summary())
         detector.close()
-        return {"mislabel_detection": out}
-
-    report = Report(name)
-    for sections in stats.together(of_annotations, quality, mislabels):
-        for section, content in sections.items():
-            report.add(section, content)
     if report_dir is not None:
         report.save_json(Path(report_dir) / f"{name}_report.json")
         report.save_html(Path(report_dir) / f"{name}_report.html")
-    for df in (data.images, data.categories, data.annotations):
-        df.unpersist()
     return report.to_dict()
 
 
